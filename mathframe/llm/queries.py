@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, tokencount, winnowing
+from . import linededup, mixing, quality, simhash, tokencount, toxicity, winnowing
+from .sampling import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document, learned from two thirds of the labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 3) == 1
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), learn_from=~held_out)
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -28,6 +37,19 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", winnowing.hit_words().alias("n_hit"), n_items.alias("n_items"), winnowing.items_digest().alias("items_sha256"), (n_items >= 2).alias("contaminated"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, learned from four fifths of the labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 5) == 0
+    net = quality.fit(docs, _table(spark, sf_dir, "labels"), learn_from=~held_out)
+    return quality.score_quality(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier one."""
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """Token counts of every document; the tokenizer file is a parameter."""
     if tokenizer_path is None:
@@ -45,6 +67,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_winnowing": op5_winnowing,
     "op9_token_counts": op9_token_counts,
