@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality, simhash, tokencount, toxicity, winnowing
+from . import embdedup, linededup, mixing, quality, simhash, tokencount, toxicity, winnowing
 from .sampling import fold
 
 
@@ -50,6 +50,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all embeddings."""
+    return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """Token counts of every document; the tokenizer file is a parameter."""
     if tokenizer_path is None:
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_winnowing": op5_winnowing,
+    "op8_lattice": op8_lattice,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
