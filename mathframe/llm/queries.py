@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, linededup, mixing, quality, simhash, tokencount, toxicity, winnowing
+from . import embdedup, linededup, mixing, pii, quality, simhash, tokencount, toxicity, winnowing
 from .sampling import fold
 
 
@@ -23,6 +23,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_feistel(spark: SparkSession, sf_dir: str, key: str = "example key, to be replaced") -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms under a key."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
+    "op2_feistel": op2_feistel,
     "op4_mixing": op4_mixing,
     "op5_winnowing": op5_winnowing,
     "op8_lattice": op8_lattice,
