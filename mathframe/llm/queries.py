@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, linededup, mixing, pii, quality, simhash, tokencount, toxicity, winnowing
+from . import embdedup, langid, linededup, mixing, pii, quality, simhash, tokencount, toxicity, winnowing
 from .sampling import fold
 
 
@@ -28,6 +28,11 @@ def op2_feistel(spark: SparkSession, sf_dir: str, key: str = "example key, to be
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, from its text, markup and address."""
+    return langid.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op2_feistel": op2_feistel,
+    "op3_language": op3_language,
     "op4_mixing": op4_mixing,
     "op5_winnowing": op5_winnowing,
     "op8_lattice": op8_lattice,
