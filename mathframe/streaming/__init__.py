@@ -1,0 +1 @@
+"""No streaming operators: models are assembled from finite tables (see README)."""
