@@ -92,7 +92,7 @@ def _word_start(text: np.ndarray, blank: np.ndarray, at: int) -> int:
     """The first word start at or after ``at``, or the end of the text."""
     n, step = len(text), 4096
     while at < n:
-        window = blank[text[at - 1 : at + step]]
+        window = blank[LOWER[text[at - 1 : at + step]]]
         found = np.flatnonzero(window[:-1] & ~window[1:])
         if len(found):
             return at + int(found[0])
