@@ -35,6 +35,8 @@ PREFIXES = (5, 6, 7, 8, 9)
 HASH_BITS = 22
 #: Features kept for the classifier.
 KEPT = 4096
+#: How far the border of the classes is moved at most, as a logit.
+MOST_SHIFT = 1.5
 #: Bounds of the training sample, in texts.
 POSITIVES, UNLABELLED = 1500, 3000
 
@@ -137,8 +139,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
     weights[used] = w
-    # The risk puts the border of the classes at one half; it is moved to the given threshold.
-    return Model(weights, float(b + np.log(threshold / (1 - threshold))))
+    # The risk's border of the classes, at one half, is cautious.  It is moved to where the share of unlabelled
+    # texts above it is the prior, by MOST_SHIFT at most, and then put at the given threshold.
+    rows, columns, _, n = sets[1]
+    logits = np.bincount(rows, weights=w[columns], minlength=n) + b
+    border = float(np.clip(np.quantile(logits, 1 - prior), -MOST_SHIFT, 0)) if n else 0.0
+    return Model(weights, float(b - border + np.log(threshold / (1 - threshold))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, threshold: float = 0.7) -> Model:
