@@ -287,7 +287,7 @@ class _Builder:
     def _named(self, name: str) -> Expr:
         s = self.state
         if name in s.variables:
-            return Expr.of_variable(self.space, s.variables[name].dims, s.variables[name].cells)
+            return Expr.of_variable(self.space, name, s.variables[name].dims, s.variables[name].cells)
         if name in s.params:
             return Expr.of_param(self.space, s.params[name])
         raise NameError(f"'{name}' not found. Variables: {sorted(s.variables)}. Parameters: {sorted(s.params)}.")

@@ -11,7 +11,7 @@ from ..document import Variable as Declared
 from ..plans.conditions import Mask, masked_grid
 from ..plans.grids import cell_number, full_grid, grid_size, ordinals, with_values
 from ..sources.parameters import Param
-from .linexpr import Const, Expr, Space
+from .linexpr import Const, Expr, Space, Terms
 
 
 @dataclass(frozen=True)
@@ -106,14 +106,17 @@ def build_constraint(space: Space, name: str, left: Expr, sign: str, right: Expr
         elif t.dims:
             parts.append(rows.select(*ordinals(dims), "row_id").join(t.table, ordinals(t.dims)).select("row_id", "label", "coeff"))
         else:
-            parts.append(rows.select("row_id").crossJoin(t.table.groupBy("label").agg(F.sum("coeff").alias("coeff"))).select("row_id", "label", "coeff"))
-    return ConstraintBlock(name, dims, rows, _added_up(parts, "row_id", "label")), grid_size(space.master, dims)
+            parts.append(rows.select("row_id").crossJoin(_added_up((t,), [t.table], "label")).select("row_id", "label", "coeff"))
+    return ConstraintBlock(name, dims, rows, _added_up(e.terms, parts, "row_id", "label")), grid_size(space.master, dims)
 
 
-def _added_up(parts: list[DataFrame], *keys: str) -> DataFrame:
-    stacked = parts[0]
+def _added_up(terms: tuple[Terms, ...], parts: list[DataFrame], *keys: str) -> DataFrame:
+    """The parts' coefficients by ``keys``; there is nothing to add up if each part is unique and of another variable."""
+    stacked = parts[0].select(*keys, "coeff")
     for p in parts[1:]:
-        stacked = stacked.unionByName(p)
+        stacked = stacked.unionByName(p.select(*keys, "coeff"))
+    if all(t.unique for t in terms) and len({t.source for t in terms}) == len(terms):
+        return stacked
     return stacked.groupBy(*keys).agg(F.sum("coeff").alias("coeff"))
 
 
@@ -133,7 +136,7 @@ def build_objective(space: Space, name: str, e: Expr, sense: str) -> ObjectiveBl
         e = e.sum(d)
     spark = space.spark
     empty = spark.createDataFrame([], "label bigint, coeff double")
-    terms = _added_up([t.table.select("label", "coeff") for t in e.terms], "label") if e.terms else empty
+    terms = _added_up(e.terms, [t.table for t in e.terms], "label") if e.terms else empty
     c = e.const
     if c is None or c.number is not None:
         offset = spark.range(1).select(F.lit(0.0 if c is None else c.number).alias("value"))

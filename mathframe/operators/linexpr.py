@@ -40,8 +40,17 @@ class Space:
 
 @dataclass(frozen=True)
 class Terms:
+    """Cells of one variable with coefficients.
+
+    A label fixes the ordinals of the ``own`` dimensions.  While ``unique`` holds, no two rows have the same
+    ordinals and label, so nothing has to be added up.
+    """
+
     dims: tuple[str, ...]
     table: DataFrame
+    source: str
+    own: tuple[str, ...]
+    unique: bool = True
 
 
 @dataclass(frozen=True)
@@ -108,8 +117,8 @@ class Expr:
         return Expr(space, const=Const(param.dims, table=param.table.withColumn("value", F.col("value").cast("double"))))
 
     @staticmethod
-    def of_variable(space: Space, dims: tuple[str, ...], cells: DataFrame) -> Expr:
-        return Expr(space, (Terms(dims, cells.select(*ordinals(dims), "label", F.lit(1.0).alias("coeff"))),))
+    def of_variable(space: Space, name: str, dims: tuple[str, ...], cells: DataFrame) -> Expr:
+        return Expr(space, (Terms(dims, cells.select(*ordinals(dims), "label", F.lit(1.0).alias("coeff")), name, dims),))
 
     # -- properties --------------------------------------------------------------------
 
@@ -177,7 +186,7 @@ class Expr:
         return self
 
     def __neg__(self) -> Expr:
-        terms = tuple(Terms(t.dims, t.table.withColumn("coeff", -F.col("coeff"))) for t in self.terms)
+        terms = tuple(replace(t, table=t.table.withColumn("coeff", -F.col("coeff"))) for t in self.terms)
         const = self.const
         if const is not None:
             const = replace(const, number=-const.number) if const.number is not None else const.map(lambda v: -v)
@@ -195,7 +204,7 @@ class Expr:
             else:
                 table = _joined(t.table, t.dims, factor.table, factor.dims).withColumn("coeff", change(F.col("coeff"), F.col("value")))
             table = table.select(*ordinals(dims), "label", "coeff")
-            terms.append(Terms(dims, table.where("coeff is not null") if op == "/" else table))
+            terms.append(replace(t, dims=dims, table=table.where("coeff is not null") if op == "/" else table))
         return Expr(self.space, tuple(terms), None if self.const is None else self._consts(op, self.const, factor))
 
     def __mul__(self, other: Any) -> Expr:
@@ -236,9 +245,9 @@ class Expr:
         terms = []
         for t in self.terms:
             if over in t.dims:
-                terms.append(Terms(tuple(d for d in t.dims if d != over), t.table.drop(ordinal(over))))
+                terms.append(replace(t, dims=tuple(d for d in t.dims if d != over), table=t.table.drop(ordinal(over)), unique=t.unique and over in t.own))
             else:  # the piece stands for each value of the dimension
-                terms.append(Terms(t.dims, t.table.withColumn("coeff", F.col("coeff") * float(size))))
+                terms.append(replace(t, table=t.table.withColumn("coeff", F.col("coeff") * float(size))))
         return Expr(self.space, tuple(terms), self._summed(over, size))
 
     def _summed(self, over: str, size: int) -> Const | None:
@@ -261,13 +270,13 @@ class Expr:
         """Circular shift along one dimension: out[i] = in[i - n].  Ordinals are renumbered, nothing is sorted."""
         if len(shift) != 1:
             raise TypeError(f"roll() takes one dimension and its shift, got {sorted(shift)}")
-        (dim, by), o = next(iter(shift.items())), None
+        dim, by = next(iter(shift.items()))
         by = int(by)
         if dim not in self.dims:
             raise ValueError(f"roll(): the expression has no dimension '{dim}'")
         o, size = ordinal(dim), self.space.master[dim].size
         turned = lambda table: table.withColumn(o, F.pmod(F.col(o) + F.lit(by % max(1, size)), F.lit(max(1, size))).cast("int"))
-        terms = tuple(Terms(t.dims, turned(t.table)) if dim in t.dims else t for t in self.terms)
+        terms = tuple(replace(t, table=turned(t.table)) if dim in t.dims else t for t in self.terms)
         const = self.const
         if const is not None and const.table is not None and dim in const.dims:
             const = replace(const, table=turned(const.table))

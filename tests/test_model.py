@@ -281,3 +281,17 @@ def test_no_dimensions(spark):
     m = Model.from_yaml(spark, {"variables": {"z": {"foreach": [], "binary": True, "bounds": {"upper": 9}}}, "constraints": {"c": {"foreach": [], "equations": [{"expression": "z * 2 >= 1"}]}}})
     assert rows(m.variable("z")) == [(0, 0.0, 1.0, "binary")] and rows(m.constraint_rows("c", counted=True)) == [(0, ">=", 1.0, 1)]
     assert rows(m.all_rows()) == [("c", 0, ">=", 1.0)] and rows(m.all_terms()) == [(0, 0, 2.0)] and rows(m.all_variables()) == [("z", 0, 0.0, 1.0, "binary")]
+
+
+def test_nothing_is_added_up_without_need(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    c = lambda text: {"c": {"foreach": ["x"], "equations": [{"expression": text}]}}
+    single = small(spark, constraints=c("sum(w * b, over=y) <= 1"))
+    assert "HashAggregate" not in plan(single.constraint_terms("c"))
+    assert rows(single.constraint_terms("c")) == [(x, 3 + 2 * x + y, 2.0 + y) for x in range(3) for y in range(2)]
+    twice = small(spark, constraints=c("sum(v * b, over=y) + v <= 1"))
+    assert rows(twice.constraint_terms("c")) == [(x, x, 6.0) for x in range(3)]
+    broadcast = small(spark, constraints=c("sum(v * b, over=y) <= 1"))
+    assert rows(broadcast.constraint_terms("c")) == [(x, x, 5.0) for x in range(3)]
+    rolled = small(spark, constraints=c("sum(roll(w, y=1), over=x) <= b"))
+    assert rows(rolled.constraint_terms("c")) == [(y, 3 + 2 * x + (y + 1) % 2, 1.0) for y in range(2) for x in range(3)]
