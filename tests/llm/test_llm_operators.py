@@ -326,3 +326,43 @@ def test_token_counts(spark):
     assert out.columns == ["doc_id", "text", "n_bytes", "n_tokens", "over_limit"]
     assert rows(out, "doc_id", "n_bytes", "n_tokens", "over_limit")[:2] == [(1, 3, 2, False), (2, 0, 0, False)] and out.where("over_limit").count() == 2
     assert tokencount.count_tokens(docs.limit(0), tokens.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_line_links_of_changed_words(spark):
+    """Lines of edit similarity 0.8 are linked whatever their SimHashes are."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 9)))
+    lines = ["hallo wor", "hello wor"]
+    for n in (2, 4, 6, 8, 10, 12, 13, 20, 30):
+        for changes in range(1, max(1, n // 5) + 1):
+            line = [word() for _ in range(n)]
+            copy = list(line)
+            for at in rng.sample(range(n), changes):
+                copy[at] = rng.choice([word(), copy[at][1:] + "z"])
+            lines += [" ".join(line), " ".join(copy)]
+        lines += [" ".join(line[: n // 2] + [word()] + line[n // 2 :]), " ".join(line[1:])]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            most = math.floor(max(len(a), len(b)) * 0.2 + 1e-9)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = {i for i in range(len(lines)) if find(i) == i}
+    assert len(want) < len(lines) - 20 and {r.doc_id for r in linededup.dedup_lines(docs).collect()} == want
