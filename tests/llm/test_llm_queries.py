@@ -146,3 +146,11 @@ def test_pipeline(spark):
     assert all(b <= a for a, b in zip(counts[:4], counts[1:5])) and counts[4] < counts[0]
     whole = corpus_pipeline.run(spark, FOLDER)
     assert sorted((r.doc_id, r.copy) for r in whole.collect()) == sorted((r.doc_id, r.copy) for r in frame.collect())
+
+
+def test_pipeline_leaves_no_benchmark(spark, tmp_path):
+    """A document that holds one benchmark item is dropped by the stage."""
+    item = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(1, item), (2, "other words " * 10)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing of it"), (3, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.without_benchmarks(spark, docs, str(tmp_path)).collect()) == [2, 3]
