@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shipping import ship_package
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever signs it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with no column of ``df``, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -41,4 +47,4 @@ def append_columns(df: DataFrame, column: str, fields: list[T.StructField], make
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(at))], names=[*names, *(f.name for f in fields)])
 
-    return df.select(*(f"`{n.replace('`', '``')}`" for n in names)).mapInArrow(run, schema)
+    return df.select(*map(quoted, names)).mapInArrow(run, schema)

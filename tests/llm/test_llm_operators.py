@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mathframe.llm import components, embdedup, langid, linededup, mixing, pii, quality, sampling, simhash, storage, tokencount, toxicity, winnowing
+from mathframe.llm import components, embdedup, langid, mixing, pii, quality, sampling, simhash, storage, tokencount, toxicity, winnowing
 
 
 def rows(df, *columns):
@@ -81,50 +81,6 @@ def test_fingerprint_links_against_all_pairs(spark, block):
     assert len(ordered) == len(signed) and [found.get(i, i) for i in range(len(signed))] == [find(i) for i in range(len(signed))]
 
 
-def _line_print(words):
-    import xxhash
-
-    votes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in [w for w in words if len(w) > 3] or words]
-    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in votes) > len(votes))
-
-
-def test_lines(spark):
-    rng = random.Random(12)
-    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(60)]
-    base = " ".join(words)
-    near = next(x for x in ([*words[:30], "".join(rng.choice("mnopqr") for _ in range(6)), *words[31:]] for _ in range(999)) if (_line_print(x) ^ _line_print(words)).bit_count() <= 3)
-    docs = [(1, f"{base}\n\nunique words stand here alone"), (2, f"{base.upper()}!\nanother unique sentence follows"), (3, " ".join(near) + "\nthird document keeps going"), (4, f"{base}\n{base}"), (5, None), (6, ""), (None, base), (7, "1 2 3\n---"), (8, f"12 {base}\n\nkept")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("drop", F.lit("x")).withColumn("id", F.lit(0))
-    out = {r.doc_id: r.text for r in linededup.dedup_lines(frame).collect()}
-    assert out[1] == docs[0][1] and out[2] == "another unique sentence follows" and out[3] == "third document keeps going"
-    assert 4 not in out and out[5] is None and out[6] == "" and out[None] == base and out[7] == "1 2 3\n---" and out[8] == "\nkept"
-    assert linededup.dedup_lines(frame).columns == frame.columns
-    everything = {r.doc_id: r.text for r in linededup.dedup_lines(frame, drop_emptied=False).collect()}
-    assert everything[4] == ""
-    assert linededup.dedup_lines(frame.limit(0)).count() == 0
-
-
-def test_line_simhash(spark):
-    texts = [(1, "The cat, sat on 2 mats\n\nfoo foo bar"), (4, "ZZ é ü\n12 34\nlonger words are here"), (5, "x " * 70 + "end here")]
-    for r in linededup.hashed_lines(spark.createDataFrame(texts, "id long, text string")).collect():
-        line = dict(texts)[r.id].split("\n")[r.line_no]
-        words = [w for w in re.split(r"[\x00-\x60\x7B-\x7F]+", line.lower()) if w]
-        assert r.sim % 2**64 == _line_print(words) and r.len == len(" ".join(words))
-
-
-def test_line_links_of_full_keys(spark):
-    """Many near copies of one line are one group, without all pairs."""
-    rng = random.Random(4)
-    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(150)]
-    variants = []
-    for _ in range(40):
-        copy = list(words)
-        copy[rng.randrange(150)] = "".join(rng.choice("mnopqrst") for _ in range(6))
-        variants.append(" ".join(copy))
-    docs = spark.createDataFrame([(i, v) for i, v in enumerate(variants)], "doc_id long, text string")
-    assert linededup.dedup_lines(docs).count() < 12
-
-
 def brute_links(vectors, cosine=0.95):
     ok = {i: np.array(v, float) for i, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     unit = {i: v / np.sqrt((v * v).sum()) for i, v in ok.items()}
@@ -326,43 +282,3 @@ def test_token_counts(spark):
     assert out.columns == ["doc_id", "text", "n_bytes", "n_tokens", "over_limit"]
     assert rows(out, "doc_id", "n_bytes", "n_tokens", "over_limit")[:2] == [(1, 3, 2, False), (2, 0, 0, False)] and out.where("over_limit").count() == 2
     assert tokencount.count_tokens(docs.limit(0), tokens.path("byte_bpe_50k.json")).count() == 0
-
-
-def test_line_links_of_changed_words(spark):
-    """Lines of edit similarity 0.8 are linked whatever their SimHashes are."""
-    rng = random.Random(21)
-    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 9)))
-    lines = ["hallo wor", "hello wor"]
-    for n in (2, 4, 6, 8, 10, 12, 13, 20, 30):
-        for changes in range(1, max(1, n // 5) + 1):
-            line = [word() for _ in range(n)]
-            copy = list(line)
-            for at in rng.sample(range(n), changes):
-                copy[at] = rng.choice([word(), copy[at][1:] + "z"])
-            lines += [" ".join(line), " ".join(copy)]
-        lines += [" ".join(line[: n // 2] + [word()] + line[n // 2 :]), " ".join(line[1:])]
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    root = list(range(len(lines)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(lines):
-        for j, b in enumerate(lines[:i]):
-            most = math.floor(max(len(a), len(b)) * 0.2 + 1e-9)
-            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    want = {i for i in range(len(lines)) if find(i) == i}
-    assert len(want) < len(lines) - 20 and {r.doc_id for r in linededup.dedup_lines(docs).collect()} == want
