@@ -11,11 +11,13 @@ The second to fourth kind are grouped sums of the text posteriors over all pages
 pre-aggregated before they are shuffled.  Declared languages and country suffixes start
 with ``TRUST`` pages in favour of the language that they name.
 
-Training takes at most ``SAMPLE`` documents of each language, chosen by a hash of their ids.
+Training takes at most ``SAMPLE`` documents of each language, chosen by a hash of their ids; more than
+``MOST_LANGUAGES`` languages are an error.
 
 Defined results: a page without text has no text evidence, one without (known) declaration, suffix or host no
 such evidence; a page without any has the overall prior.  Ties go to the language that sorts first.
-Rows stay, repeated ones too; without training languages language and probability are null.
+Rows stay, repeated ones too; texts are taken whole; columns of ``pages`` other than the three that are named don't
+matter, whatever their names.  Without training languages language and probability are null.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import append_columns
+from .arrowmap import append_columns, quoted
 from .bytetext import LOWER, NOT_ALNUM, pieces
-from .sampling import sample_labelled, sample_rows
+from .shipping import ship_package
 from .storage import Scratch
 
 BUCKET_BITS = 16
 SAMPLE = 1000
+#: Tasks that read the sample at most.
+SAMPLE_TASKS = 8
 MOST_LANGUAGES = 400
 TEXT_GRAMS = 40.0
 TRUST = 20.0
@@ -71,32 +76,47 @@ def _grams(column: pa.Array):
         yield ((code[used] * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64), row[used]
 
 
+def _sampled(known: DataFrame, most: int, counts: dict[str, int]) -> DataFrame:
+    """At most ``most`` rows (lang, text) of each language, those with the least hashes of their ids.
+
+    Rows are first thinned by their hash to about twice as many as are wanted, so that no language is sorted whole.
+    """
+    scale = 1 << 30
+    spark = known.sparkSession
+    limits = spark.createDataFrame([(lang, min(scale, 2 * scale * most // n + 1)) for lang, n in counts.items()], "lang string, upto long")
+    hashed = known.withColumn("hash", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(scale)))
+    thin = hashed.join(F.broadcast(limits), "lang").where("hash < upto")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash", "id", F.xxhash64("text")))
+    return thin.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text")
+
+
 def train_text(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and log likelihoods (bucket, language)."""
-    known = docs.where(F.col(lang_column).isNotNull())
-    languages = sorted(r[0] for r in known.select(lang_column).distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
+    known = docs.select(quoted(id_column).alias("id"), quoted(lang_column).cast("string").alias("lang"), quoted(text_column).alias("text")).where("lang is not null")
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = sorted(counts)
     table = np.zeros((1 << BUCKET_BITS, len(languages)))
-    for k, language in enumerate(languages):
-        of_it = known.where(F.col(lang_column) == language)
-        rows = sample_rows(of_it, sample_labelled(of_it, id_column, sample), id_column, sample)
-
-        def make():
-            def run(column: pa.Array) -> list[pa.Array]:
-                out: list[bytes | None] = [None] * len(column)
+    if not languages:
+        return languages, table
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            names, out = batch.column(0).to_pylist(), []
+            for lang in sorted(set(names)):
                 total = np.zeros(1 << BUCKET_BITS, np.int64)
-                for bucket, _ in _grams(column):
-                    total += np.bincount(bucket, minlength=1 << BUCKET_BITS)
-                if len(column):  # one vector for a batch
-                    out[0] = total.tobytes()
-                return [pa.array(out, pa.binary())]
-
-            return run
-
-        vectors = append_columns(rows.select(F.col(text_column).alias("text")), "text", [T.StructField("grams", T.BinaryType())], make).select("grams").where("grams is not null")
-        for r in vectors.collect():
-            table[:, k] += np.frombuffer(r.grams, np.int64)
+                for bucket, _ in _grams(batch.column(1).filter(pa.array([x == lang for x in names]))):
+                    total += np.bincount(bucket, minlength=len(total))
+                used = np.flatnonzero(total)
+                out.append((lang, used.astype(np.int32).tobytes(), total[used].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2))], names=["lang", "bucket", "seen"])
+
+    # The sample is bounded, so a few tasks are enough, and what they send to the driver is bounded, too.
+    found = _sampled(known, sample, counts).coalesce(SAMPLE_TASKS).mapInArrow(run, "lang string, bucket binary, seen binary")
+    for r in found.toLocalIterator():
+        table[np.frombuffer(r.bucket, np.int32), languages.index(r.lang)] += np.frombuffer(r.seen, np.int64)
     return languages, np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table)))
 
 
@@ -113,80 +133,92 @@ def _text_scores(column: pa.Array, table: np.ndarray) -> np.ndarray:
     return total / np.maximum(1, count)[:, None] * np.minimum(count, TEXT_GRAMS)[:, None]
 
 
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    powers = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """Rows as lists of doubles."""
+    n, k = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(values.ravel(), pa.float64()))
+
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    """Lists of ``k`` doubles as rows; a null gives zeros."""
+    out = np.zeros((len(column), k))
+    given = column.is_valid()
+    out[given.to_numpy(zero_copy_only=False)] = column.filter(given).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return out
+
+
 def identify(pages: DataFrame, docs: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", **training) -> DataFrame:
     """One row for each page: its id, language, probability, declared and host."""
     spark = pages.sparkSession
     languages, table = train_text(docs, **training)
     count = len(languages)
-    url, html = F.col(url_column), F.col(html_column)
-    host = host_of(url)
-    base = pages.select(F.col(id_column).alias("id"), host.alias("host"), declared_language(html).alias("declared"), visible_text(html).alias("text"))
+    url, html = quoted(url_column), quoted(html_column)
+    base = pages.select(quoted(id_column).alias("id"), host_of(url).alias("host"), declared_language(html).alias("declared"), visible_text(html).alias("text"))
     if not count:
         return base.select(F.col("id").alias(id_column), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), "declared", "host")
     shared = spark.sparkContext.broadcast(table)
 
     def make():
         table = shared.value
-        return lambda column: [pa.array(list(_text_scores(column, table)), pa.list_(pa.float64()))]
 
-    scored = append_columns(base, "text", [T.StructField("score", T.ArrayType(T.DoubleType()))], make).drop("text")
+        def run(column: pa.Array) -> list[pa.Array]:
+            score = _text_scores(column, table)
+            return [_lists(score), _lists(_softmax(score))]
+
+        return run
+
+    numbers = T.ArrayType(T.DoubleType())
+    scored = append_columns(base, "text", [T.StructField("score", numbers), T.StructField("post", numbers)], make).drop("text")
     labels = F.split("host", r"\.")
     named = F.size(labels) > 1
     scored = scored.withColumns({"suffix": F.when(named, F.element_at(labels, -1)).otherwise(""), "domain": F.when(named, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(F.col("host"))})
     scratch = Scratch(spark)
-    scored = scratch.write(scored.withColumn("post", _softmax([F.element_at("score", k + 1) for k in range(count)])), "scores")
+    scored = scratch.write(scored, "scores")
 
-    sums = [F.sum(F.element_at("post", k + 1)).alias(f"s{k}") for k in range(count)]
-    summed = lambda key: scored.groupBy(key).agg(F.array(*(F.sum(F.element_at("post", k + 1)) for k in range(count))).alias(f"{key}_sums"))
-    overall = scored.agg(*sums).first()
+    sums = lambda: F.array(*(F.sum(F.get("post", k)) for k in range(count)))
+    summed = lambda key: scored.where(F.col(key) != "").groupBy(key).agg(sums().alias(f"{key}_sums"))
+    overall = scored.agg(sums().alias("sums")).first().sums
     prior = np.array([x or 0.0 for x in overall], float) + 1.0
     prior /= prior.sum()
-    hosts = scratch.write(summed("host").where("host <> ''"), "hosts")
-    domains = scratch.write(summed("domain").where("domain <> ''"), "domains")
-    declared = scratch.write(_likelihoods(summed("declared"), "declared", {x: x for x in languages}, languages), "declared")
-    suffixes = scratch.write(_likelihoods(summed("suffix"), "suffix", SUFFIX_LANGUAGES, languages), "suffixes")
     joined = scored
-    for other, key in ((hosts, "host"), (domains, "domain"), (declared, "declared"), (suffixes, "suffix")):
-        joined = joined.join(other, key, "left")
-
-    def part(column: str, k: int) -> Column:
-        return F.coalesce(F.element_at(column, k + 1), F.lit(0.0))
-
-    def share(column: str, k: int, above: Column) -> Column:
-        """Share of a language among the other pages, smoothed by the share above."""
-        others = F.greatest(part(column, k) - part("post", k), F.lit(0.0))
-        total = sum((F.greatest(part(column, j) - part("post", j), F.lit(0.0)) for j in range(count)), F.lit(0.0))
-        return (others + SMOOTH * above) / (total + SMOOTH)
-
-    logs = []
-    for k in range(count):
-        by_host = share("host_sums", k, share("domain_sums", k, F.lit(float(prior[k]))))
-        logs.append(F.element_at("score", k + 1) + F.log(by_host) + part("declared_logs", k) + part("suffix_logs", k))
-    fused = joined.withColumn("all", _softmax(logs))
-    best = F.array_max("all")
-    language = F.element_at(F.array(*(F.lit(x) for x in languages)), F.array_position("all", best).cast("int"))
-    return fused.select(F.col("id").alias(id_column), language.alias("language"), best.alias("probability"), "declared", "host")
-
-
-def _softmax(logs: list[Column]) -> Column:
-    values = F.array(*logs)
-    powers = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+    for key in ("host", "domain"):
+        joined = joined.join(scratch.write(summed(key), f"{key}s"), key, "left")
+    for key, target in (("declared", {x: x for x in languages}), ("suffix", SUFFIX_LANGUAGES)):
+        joined = joined.join(scratch.write(_likelihoods(summed(key), key, target, languages), f"{key}-logs"), key, "left")
+    joined = joined.select("id", "declared", "host", "score", "post", "host_sums", "domain_sums", "declared_logs", "suffix_logs")
+    schema = T.StructType([joined.schema["id"], T.StructField("language", T.StringType()), T.StructField("probability", T.DoubleType()), joined.schema["declared"], joined.schema["host"]])
+
+    def fuse(batches):
+        for batch in batches:
+            of = lambda name: _matrix(batch.column(name), count)
+            post, shares = of("post"), prior[None, :]
+            for level in ("domain_sums", "host_sums"):  # shares of the other pages, smoothed by the level above
+                others = np.maximum(of(level) - post, 0.0)
+                shares = (others + SMOOTH * shares) / (others.sum(axis=1, keepdims=True) + SMOOTH)
+            every = _softmax(of("score") + np.log(shares) + of("declared_logs") + of("suffix_logs"))
+            best = every.argmax(axis=1)
+            found = [pa.array([languages[i] for i in best.tolist()], pa.string()), pa.array(every[np.arange(len(best)), best], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *found, batch.column("declared"), batch.column("host")], names=schema.names)
+
+    return joined.mapInArrow(fuse, schema).withColumnRenamed("id", id_column)
 
 
 def _likelihoods(sums: DataFrame, key: str, named: dict[str, str], languages: list[str]) -> DataFrame:
     """Log likelihoods of the key's values for each language, up to a constant of the value.
 
     A value has the log of its smoothed share in each language over its overall share; values
-    seen rarely, and the empty one, have no say.
+    seen rarely have little say.
     """
+    places = [x for value, lang in named.items() if lang in languages for x in (F.lit(value), F.lit(languages.index(lang)))]
+    place = F.create_map(*places)[F.col(key)] if places else F.lit(None).cast("int")
     column = F.col(f"{key}_sums")
     total = F.aggregate(column, F.lit(0.0), lambda acc, x: acc + x)
-    of = F.col(key)
-    target = F.create_map(*(F.lit(x) for pair in named.items() for x in pair))[of] if named else F.lit(None).cast("string")
-    logs = []
-    for k, language in enumerate(languages):
-        trusted = F.when(target == language, F.lit(TRUST)).otherwise(F.lit(0.0))
-        logs.append(F.log((F.element_at(column, k + 1) + trusted + 1.0) / (total + F.when(target.isNotNull(), F.lit(TRUST)).otherwise(F.lit(0.0)) + len(languages))))
-    return sums.where(of != "").select(key, F.array(*logs).alias(f"{key}_logs"))
+    placed = sums.withColumns({"place": place, "total": total})
+    trusted = lambda i: F.when(F.col("place") == i, F.lit(TRUST)).otherwise(F.lit(0.0))
+    whole = F.col("total") + F.when(F.col("place").isNotNull(), F.lit(TRUST)).otherwise(F.lit(0.0)) + len(languages)
+    return placed.select(key, F.transform(f"{key}_sums", lambda x, i: F.log((x + trusted(i) + 1.0) / whole)).alias(f"{key}_logs"))

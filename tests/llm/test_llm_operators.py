@@ -282,3 +282,18 @@ def test_token_counts(spark):
     assert out.columns == ["doc_id", "text", "n_bytes", "n_tokens", "over_limit"]
     assert rows(out, "doc_id", "n_bytes", "n_tokens", "over_limit")[:2] == [(1, 3, 2, False), (2, 0, 0, False)] and out.where("over_limit").count() == 2
     assert tokencount.count_tokens(docs.limit(0), tokens.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_many_languages(spark):
+    """Fifty languages are one sample and one fusion, not a job for each."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{chr(97 + k // 26)}{chr(97 + k % 26)}": ["".join(rng.choice(letters) for _ in range(4)) for _ in range(6)] for k in range(50)}
+    docs = spark.createDataFrame([(i, lang, " ".join(rng.choices(parts, k=30))) for i, (lang, parts) in enumerate([x for x in own.items() for _ in range(3)])], "doc_id long, lang string, text string")
+    pages = [(i, f"http://h{i}.example/", f"<p>{' '.join(rng.choices(parts, k=20))}</p>") for i, parts in enumerate(own.values())]
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    before = jobs()
+    found = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("a.b", F.lit(1)).withColumn("HOST", F.lit(2)), docs)
+    got = {r.page_id: r.language for r in found.collect()}
+    assert sum(got[i] == lang for i, lang in enumerate(own)) >= 48
+    assert jobs() - before < 60
