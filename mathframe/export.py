@@ -30,7 +30,8 @@ def lp_lines(model: Model) -> DataFrame:
     """
     rows = model.all_rows()
     sums = _sums(model.all_terms(), "row_id")
-    named = rows.join(sums, "row_id").select(F.lit(2).alias("section"), F.col("row_id").alias("place"), F.concat(F.lit(" c"), F.col("row_id").cast("string"), F.lit(": "), "text", F.lit(" "), "sign", F.lit(" "), _number(F.col("rhs"))).alias("text"))
+    text = F.coalesce("text", F.lit("0 x0"))  # a row without terms still says something
+    named = rows.join(sums, "row_id", "left").select(F.lit(2).alias("section"), F.col("row_id").alias("place"), F.concat(F.lit(" c"), F.col("row_id").cast("string"), F.lit(": "), text, F.lit(" "), "sign", F.lit(" "), _number(F.col("rhs"))).alias("text"))
     cells = model.all_variables()
     bounds = cells.select(F.lit(4).alias("section"), F.col("label").alias("place"), F.concat(F.lit(" "), _number(F.col("lower")), F.lit(" <= x"), F.col("label").cast("string"), F.lit(" <= "), _number(F.col("upper"))).alias("text"))
     kinds = [cells.where(F.col("vtype") == kind).select(F.lit(section).alias("section"), F.col("label").alias("place"), F.concat(F.lit(" x"), F.col("label").cast("string")).alias("text")) for kind, section in (("integer", 6), ("binary", 8))]
@@ -42,6 +43,8 @@ def lp_lines(model: Model) -> DataFrame:
         out = out.unionByName(kind)
     if model.objective is not None:
         out = out.unionByName(model.objective_terms().select(F.lit(0).alias("section"), F.col("label").alias("place"), F.concat(F.lit(" "), _term()).alias("text")))
+        constant = model.objective.offset.where("value <> 0").select(F.concat(F.when(F.col("value") < 0, F.lit(" - ")).otherwise(F.lit(" + ")), _number(F.abs("value"))).alias("text"))
+        out = out.unionByName(constant.select(F.lit(0).alias("section"), F.lit((1 << 63) - 1).alias("place"), "text"))
     return out
 
 

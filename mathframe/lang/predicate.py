@@ -14,37 +14,33 @@ from .tokens import Cursor
 
 
 @dataclass(frozen=True)
-class BoolLiteral:
-    value: bool
+class Test:
+    """Is there a value, or, with a relation, does it hold against a number, name or text?"""
 
-
-@dataclass(frozen=True)
-class ExistenceCheck:
     name: str
+    relation: str | None = None
+    against: float | str | None = None
 
 
 @dataclass(frozen=True)
-class Comparison:
-    name: str
-    op: str
-    value: float | str
+class Every:
+    """Holds where all parts hold; without parts everywhere."""
 
-
-@dataclass(frozen=True)
-class NotNode:
-    operand: Any
+    parts: tuple = ()
 
 
 @dataclass(frozen=True)
-class AndNode:
-    left: Any
-    right: Any
+class Some:
+    """Holds where any part holds; without parts nowhere."""
+
+    parts: tuple = ()
 
 
 @dataclass(frozen=True)
-class OrNode:
-    left: Any
-    right: Any
+class Unless:
+    """Holds where its part doesn't."""
+
+    part: Any
 
 
 # Comparison signs and reserved words.
@@ -59,23 +55,23 @@ def _word(c: Cursor, word: str) -> bool:
     return False
 
 
-def _joined(c: Cursor, word: str, part, node) -> Any:
-    left = part(c)
+def _joined(c: Cursor, word: str, part, whole) -> Any:
+    parts = [part(c)]
     while _word(c, word):
-        left = node(left, part(c))
-    return left
+        parts.append(part(c))
+    return parts[0] if len(parts) == 1 else whole(tuple(parts))
 
 
 def _either(c: Cursor) -> Any:
-    return _joined(c, "or", _both, OrNode)
+    return _joined(c, "or", _both, Some)
 
 
 def _both(c: Cursor) -> Any:
-    return _joined(c, "and", _negated, AndNode)
+    return _joined(c, "and", _negated, Every)
 
 
 def _negated(c: Cursor) -> Any:
-    return NotNode(_negated(c)) if _word(c, "not") else _test(c)
+    return Unless(_negated(c)) if _word(c, "not") else _test(c)
 
 
 def _test(c: Cursor) -> Any:
@@ -87,10 +83,10 @@ def _test(c: Cursor) -> Any:
     if token.kind != "name" or token.text.lower() in _WORDS:
         raise SyntaxError(f"expected a name at {token.at}, found {token.text or 'the end'!r}")
     if token.text.lower() in ("true", "false"):
-        return BoolLiteral(token.text.lower() == "true")
+        return Every() if token.text.lower() == "true" else Some()
     if c.now.kind == "sign" and c.now.text in _COMPARE:
-        return Comparison(token.text, c.step().text, _right_side(c))
-    return ExistenceCheck(token.text)
+        return Test(token.text, c.step().text, _right_side(c))
+    return Test(token.text)
 
 
 def _right_side(c: Cursor) -> float | str:

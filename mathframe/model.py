@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .document import MathSchema, read_document
 from .functions.registry import get_helper
-from .lang.expression import BinOpNode, CompareNode, FuncCallNode, NameNode, NumberNode, UnaryOpNode, parse_expression
+from .lang.expression import Program, parse_expression
 from .lang.predicate import parse_where
 from .operators.assemble import ConstraintBlock, ObjectiveBlock, VariableBlock, build_constraint, build_objective, build_variable, coordinates, dense
 from .operators.linexpr import Expr, Space
@@ -21,6 +22,7 @@ from .plans.grids import full_grid, ordinals, with_values
 from .sources.coords import Dim, build_master_coords
 from .sources.parameters import Param, load_parameters
 
+_APPLY = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "**": operator.pow}
 # Signs of constraints.
 _SIGNS = {"==": "=", "<=": "<=", ">=": ">="}
 
@@ -175,7 +177,10 @@ class Model:
 
     def evaluate(self, expression: str) -> DataFrame:
         """All cells of an expression of parameters, by coordinates; missing ones are null."""
-        return dense(self._space, _Builder(self.spark, self._state).evaluated(parse_expression(expression)))
+        formula = parse_expression(expression)
+        if formula.relation is not None:
+            raise TypeError(f"a comparison has no value: {expression!r}")
+        return dense(self._space, _Builder(self.spark, self._state).evaluated(formula.sides[0]))
 
     def mask(self, where: str | None, dims: tuple[str, ...] | None = None) -> DataFrame:
         """Cells of a condition by coordinates, with ``keep``: of its own dimensions, or of ``dims``."""
@@ -215,13 +220,13 @@ def _parse_all(schema: MathSchema) -> None:
         if constraint.where is not None:
             parse_where(constraint.where)
         for i, equation in enumerate(constraint.equations):
-            if not isinstance(parse_expression(equation.expression), CompareNode):
+            if parse_expression(equation.expression).relation is None:
                 raise ValueError(f"Constraint '{name}' equation {i}: the expression must contain exactly one comparison (<=, >=, ==): {equation.expression!r}")
             if equation.where is not None:
                 parse_where(equation.where)
     for name, objective in schema.objectives.items():
         for equation in objective.equations:
-            if isinstance(parse_expression(equation.expression), CompareNode):
+            if parse_expression(equation.expression).relation is not None:
                 raise ValueError(f"Objective '{name}': the expression must not contain a comparison: {equation.expression!r}")
 
 
@@ -242,48 +247,48 @@ class _Builder:
             for i, equation in enumerate(declared.equations):
                 mask = both(whole, self.conditions.plan(equation.where), s.master)
                 label = name if len(declared.equations) == 1 else f"{name}_{i}"
-                tree = parse_expression(equation.expression)
-                left, right = self._of(tree.left, equation.expression), self._of(tree.right, equation.expression)
-                block, used = build_constraint(self.space, label, left, _SIGNS[tree.op], right, mask, s.row_ids)
+                formula = parse_expression(equation.expression)
+                left, right = (self._of(side, equation.expression) for side in formula.sides)
+                block, used = build_constraint(self.space, label, left, _SIGNS[formula.relation], right, mask, s.row_ids)
                 s.constraints[label] = block
                 s.row_ids += used
         for name, declared in schema.objectives.items():
             text = declared.equations[0].expression
-            s.objective = build_objective(self.space, name, self._of(parse_expression(text), text), declared.sense)
+            s.objective = build_objective(self.space, name, self._of(parse_expression(text).sides[0], text), declared.sense)
         return s
 
-    def _of(self, tree: Any, text: str) -> Expr:
-        """The expression of a tree; errors name its text."""
+    def _of(self, program: Program, text: str) -> Expr:
+        """The expression of a program; the message of an error holds its text."""
         try:
-            return self.evaluated(tree)
+            return self.evaluated(program)
         except (NameError, TypeError, ValueError, ZeroDivisionError) as error:
-            error.add_note(f"In the expression {text!r}")
-            raise
-
-    def evaluated(self, tree: Any) -> Expr:
-        value = self._value(tree)
+            raise type(error)(f"{error} (in the expression {text!r})") from error
+
+    def evaluated(self, program: Program) -> Expr:
+        stack: list[Any] = []
+        for step in program:
+            if step.what == "push":
+                stack.append(Expr.of_number(self.space, step.of))
+            elif step.what == "load":
+                stack.append(self._named(step.of))
+            elif step.what == "word":
+                stack.append(step.of)
+            elif step.what == "negate":
+                stack.append(-stack.pop())
+            elif step.what == "apply":
+                right, left = stack.pop(), stack.pop()
+                stack.append(_APPLY[step.of](left, right))
+            elif step.what == "call":
+                values = [stack.pop() for _ in range(step.count)][::-1]
+                first = step.count - len(step.keywords)
+                stack.append(get_helper(step.of)(*values[:first], **{k: _plain(v) for k, v in zip(step.keywords, values[first:])}))
+            else:
+                raise TypeError(f"unknown step {step!r}")
+        [value] = stack
         if not isinstance(value, Expr):
             raise TypeError(f"a helper returned {type(value).__name__}, not an expression")
         return value
 
-    def _value(self, tree: Any) -> Any:
-        if isinstance(tree, NumberNode):
-            return Expr.of_number(self.space, tree.value)
-        if isinstance(tree, NameNode):
-            return self._named(tree.name)
-        if isinstance(tree, UnaryOpNode):
-            operand = self._value(tree.operand)
-            return -operand if tree.op == "-" else operand
-        if isinstance(tree, BinOpNode):
-            left, right = self._value(tree.left), self._value(tree.right)
-            return {"+": lambda: left + right, "-": lambda: left - right, "*": lambda: left * right, "/": lambda: left / right, "**": lambda: left**right}[tree.op]()
-        if isinstance(tree, FuncCallNode):
-            helper = get_helper(tree.name)
-            args = [self._value(a) for a in tree.args]
-            kwargs = {k: v.name if isinstance(v, NameNode) else _plain(self._value(v)) for k, v in tree.kwargs.items()}
-            return helper(*args, **kwargs)
-        raise TypeError(f"a comparison can't stand inside an expression: {tree!r}")
-
     def _named(self, name: str) -> Expr:
         s = self.state
         if name in s.variables:

@@ -85,7 +85,12 @@ def _power(a: Column, b: Column) -> Column:
     return F.nanvl(F.pow(a, b), F.lit(None).cast("double"))
 
 
-_COLUMNS = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": _divide, "**": _power}
+def _real(value: Column) -> Column:
+    """A value, missing where it isn't a number (as inf - inf)."""
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+
+
+_COLUMNS = {"+": lambda a, b: _real(a + b), "-": lambda a, b: _real(a - b), "*": lambda a, b: _real(a * b), "/": _divide, "**": _power}
 
 
 def _numbers(op: str, a: float, b: float) -> float:
@@ -93,7 +98,12 @@ def _numbers(op: str, a: float, b: float) -> float:
         if b == 0:
             raise ZeroDivisionError(f"division of {a} by zero in an expression")
         return a / b
-    return {"+": a + b, "-": a - b, "*": a * b}[op] if op != "**" else float(a) ** b
+    if op == "**":
+        power = float(a) ** b
+        if isinstance(power, complex):
+            raise ValueError(f"{a} ** {b} isn't a real number")
+        return power
+    return {"+": a + b, "-": a - b, "*": a * b}[op]
 
 
 class Expr:
@@ -159,7 +169,7 @@ class Expr:
             left = a.cells(self.space).withColumnRenamed("value", "left_value")
             right = b.cells(self.space).withColumnRenamed("value", "right_value")
             table = _joined(left, a.dims, right, b.dims).select(*ordinals(dims), change(F.col("left_value"), F.col("right_value")).alias("value"))
-        return Const(dims, table=table.where("value is not null") if op in ("/", "**") else table)
+        return Const(dims, table=table.where("value is not null"))
 
     def _add(self, other: Any, sign: int) -> Expr:
         other = self._as_expr(other)

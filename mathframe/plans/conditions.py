@@ -11,12 +11,13 @@ from __future__ import annotations
 import operator
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lang.predicate import AndNode, BoolLiteral, Comparison, ExistenceCheck, NotNode, OrNode, parse_where
+from ..lang.predicate import Every, Some, Test, Unless, parse_where
 from ..sources.coords import Dim, ordinal, value_of
 from ..sources.parameters import Param
 from .grids import extended, full_grid, ordinals
@@ -42,8 +43,8 @@ class ConditionPlanner:
 
     def plan_tree(self, tree: Any) -> Mask | bool:
         tree = self._folded(tree)
-        if isinstance(tree, BoolLiteral):
-            return tree.value
+        if tree in (Every(), Some()):
+            return tree == Every()
         dims = self._dims(tree)
         predicate = self._column(tree)
         leader = self._leader(tree)
@@ -67,61 +68,47 @@ class ConditionPlanner:
 
     def _folded(self, tree: Any) -> Any:
         """The tree with everything decided that needs no cell."""
-        if isinstance(tree, NotNode):
-            inner = self._folded(tree.operand)
-            return BoolLiteral(not inner.value) if isinstance(inner, BoolLiteral) else NotNode(inner)
-        if isinstance(tree, (AndNode, OrNode)):
-            left, right = self._folded(tree.left), self._folded(tree.right)
-            decides = isinstance(tree, OrNode)
-            for side, other in ((left, right), (right, left)):
-                if isinstance(side, BoolLiteral):
-                    return side if side.value is decides else other
-            return type(tree)(left, right)
-        if isinstance(tree, (ExistenceCheck, Comparison)) and tree.name not in self.params and tree.name not in self.master:
-            return BoolLiteral(False)
-        return tree
+        if isinstance(tree, Unless):
+            part = self._folded(tree.part)
+            return {Every(): Some(), Some(): Every()}.get(part, Unless(part))
+        if isinstance(tree, (Every, Some)):
+            whole, other = type(tree), Some if isinstance(tree, Every) else Every
+            parts = [self._folded(p) for p in tree.parts]
+            if other() in parts:
+                return other()
+            parts = tuple(p for p in parts if p != whole())
+            return parts[0] if len(parts) == 1 else whole(parts)
+        return tree if tree.name in self.params or tree.name in self.master else Some()
+
+    def _tests(self, tree: Any) -> list[Test]:
+        """All tests of a tree, in order."""
+        if isinstance(tree, Test):
+            return [tree]
+        return [t for part in ((tree.part,) if isinstance(tree, Unless) else tree.parts) for t in self._tests(part)]
+
+    def _read(self, test: Test) -> list[str]:
+        """Parameters and dimensions whose values a test needs; an existence test of a dimension needs none."""
+        if test.relation is None:
+            return [test.name] if test.name in self.params else []
+        return [test.name, *([test.against] if test.against in self.params else [])]
 
     def _names(self, tree: Any) -> list[str]:
-        """Parameters and dimensions of the tree, in order; an existence test of a dimension reads nothing."""
-        if isinstance(tree, NotNode):
-            return self._names(tree.operand)
-        if isinstance(tree, (AndNode, OrNode)):
-            return list(dict.fromkeys(self._names(tree.left) + self._names(tree.right)))
-        if isinstance(tree, Comparison):
-            other = [tree.value] if isinstance(tree.value, str) and tree.value in self.params else []
-            return list(dict.fromkeys([tree.name, *other]))
-        return [tree.name] if tree.name in self.params else []
+        return list(dict.fromkeys(n for t in self._tests(tree) for n in self._read(t)))
 
     def _dims(self, tree: Any) -> tuple[str, ...]:
-        found: dict[str, None] = {}
-
-        def visit(node: Any) -> None:
-            if isinstance(node, NotNode):
-                visit(node.operand)
-            elif isinstance(node, (AndNode, OrNode)):
-                visit(node.left)
-                visit(node.right)
-            else:
-                for name in (node.name, getattr(node, "value", None)):
-                    if isinstance(name, str) and name in self.params:
-                        found.update(dict.fromkeys(self.params[name].dims))
-                    elif name == node.name and name in self.master:
-                        found[name] = None
-
-        visit(tree)
+        found = {d for n in self._names(tree) if n in self.params for d in self.params[n].dims}
+        found |= {t.name for t in self._tests(tree) if t.name in self.master and t.name not in self.params}
         return tuple(d for d in self.master if d in found)
 
     def _leader(self, tree: Any) -> str | None:
         """The parameter with most dimensions without whose value the condition can't hold."""
         parts, needed = [tree], []
         while parts:
-            node = parts.pop()
-            if isinstance(node, AndNode):
-                parts += [node.right, node.left]
-            elif isinstance(node, ExistenceCheck) and node.name in self.params:
-                needed.append(node.name)
-            elif isinstance(node, Comparison) and node.op != "!=":
-                needed += [n for n in self._names(node) if n in self.params]
+            part = parts.pop()
+            if isinstance(part, Every):
+                parts += reversed(part.parts)
+            elif isinstance(part, Test) and part.relation != "!=":
+                needed += [n for n in self._read(part) if n in self.params]
         needed = [n for n in needed if self.params[n].number is None]
         return max(needed, key=lambda n: len(self.params[n].dims), default=None)
 
@@ -135,36 +122,33 @@ class ConditionPlanner:
 
     def _column(self, tree: Any) -> Column:
         """A condition that is never null."""
-        if isinstance(tree, NotNode):
-            return ~self._column(tree.operand)
-        if isinstance(tree, AndNode):
-            return self._column(tree.left) & self._column(tree.right)
-        if isinstance(tree, OrNode):
-            return self._column(tree.left) | self._column(tree.right)
-        if isinstance(tree, BoolLiteral):
-            return F.lit(tree.value)
-        if isinstance(tree, ExistenceCheck):
-            if tree.name not in self.params:
-                return F.lit(True)
-            value, dtype = self._operand(tree.name)
-            there = value.isNotNull()
-            return F.coalesce(there & (F.abs(value) < float("inf")), F.lit(False)) if dtype == "float" else there
-        return self._comparison(tree)
-
-    def _comparison(self, tree: Comparison) -> Column:
-        left, left_type = self._operand(tree.name)
-        if isinstance(tree.value, str) and tree.value in self.params:
-            right, right_type = self._operand(tree.value)
+        if isinstance(tree, Unless):
+            return ~self._column(tree.part)
+        if isinstance(tree, (Every, Some)):
+            return reduce(operator.and_ if isinstance(tree, Every) else operator.or_, map(self._column, tree.parts))
+        return self._compared(tree) if tree.relation else self._there(tree.name)
+
+    def _there(self, name: str) -> Column:
+        if name not in self.params:
+            return F.lit(True)
+        value, dtype = self._operand(name)
+        return F.coalesce(value.isNotNull() & (F.abs(value) < float("inf")), F.lit(False)) if dtype == "float" else value.isNotNull()
+
+    def _compared(self, test: Test) -> Column:
+        op = test.relation
+        left, left_type = self._operand(test.name)
+        if test.against in self.params:
+            right, right_type = self._operand(test.against)
         else:
-            right, right_type = F.lit(tree.value), "str" if isinstance(tree.value, str) else "float"
+            right, right_type = F.lit(test.against), "str" if isinstance(test.against, str) else "float"
         numbers = ("float", "int", "bool")
         if left_type != right_type and not (left_type in numbers and right_type in numbers):
-            if tree.op in ("==", "!="):
-                return F.lit(tree.op == "!=")
-            raise TypeError(f"'{tree.name} {tree.op} {tree.value}' compares {left_type} with {right_type}")
+            if op in ("==", "!="):
+                return F.lit(op == "!=")
+            raise TypeError(f"'{test.name} {op} {test.against}' compares {left_type} with {right_type}")
         if left_type != right_type and "bool" in (left_type, right_type):
             left, right = left.cast("double"), right.cast("double")
-        return F.coalesce(_OPS[tree.op](left, right), F.lit(tree.op == "!="))
+        return F.coalesce(_OPS[op](left, right), F.lit(op == "!="))
 
 
 def _value(name: str) -> str:

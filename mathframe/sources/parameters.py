@@ -174,6 +174,10 @@ def _from_table(name: str, declared: Declared, raw: DataFrame, master: Mapping[s
     if declared.dtype == "float":
         value = F.nanvl(value, F.lit(None).cast("double"))
     table = raw.select(*(F.col(f"`{d}`").alias(d) for d in dims), value.alias("value")).where("value is not null")
+    if check_tables:
+        twice = table.groupBy(*(F.col(f"`{d}`") for d in dims)).count().where("count > 1").limit(10).collect()
+        if twice:
+            raise ValueError(f"{what} has several values at the same coordinates: {[tuple(r)[:-1] for r in twice]}.")
     for d in dims:
         dim = master[d]
         if check_tables:

@@ -7,7 +7,8 @@ import random
 import pytest
 
 from mathframe import Model
-from mathframe.lang.predicate import AndNode, Comparison, ExistenceCheck, NotNode, OrNode
+from mathframe.lang.predicate import Every, Some, Unless
+from mathframe.lang.predicate import Test as Check
 
 OPS = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}
 X, Y = [0, 1, 2], [5, 6]
@@ -16,37 +17,35 @@ X, Y = [0, 1, 2], [5, 6]
 def make(rng, depth):
     kind = rng.choice(["and", "or", "not", "leaf"]) if depth else "leaf"
     if kind == "not":
-        return NotNode(make(rng, depth - 1))
+        return Unless(make(rng, depth - 1))
     if kind != "leaf":
-        return (AndNode if kind == "and" else OrNode)(make(rng, depth - 1), make(rng, depth - 1))
+        return (Every if kind == "and" else Some)(tuple(make(rng, depth - 1) for _ in range(rng.randint(2, 3))))
     name = rng.choice(["p", "q", "r", "s", "x", "y", "none"])
     if rng.random() < 0.3:
-        return ExistenceCheck(name)
-    return Comparison(name, rng.choice(list(OPS)), rng.choice([0, 1, 6, "p", "q", "s"]))
+        return Check(name)
+    return Check(name, rng.choice(list(OPS)), rng.choice([0, 1, 6, "p", "q", "s"]))
 
 
 def text(tree):
-    if isinstance(tree, NotNode):
-        return f"NOT ({text(tree.operand)})"
-    if isinstance(tree, (AndNode, OrNode)):
-        return f"({text(tree.left)}) {'AND' if isinstance(tree, AndNode) else 'OR'} ({text(tree.right)})"
-    return tree.name if isinstance(tree, ExistenceCheck) else f"{tree.name} {tree.op} {tree.value}"
+    if isinstance(tree, Unless):
+        return f"NOT ({text(tree.part)})"
+    if isinstance(tree, (Every, Some)):
+        return (" AND " if isinstance(tree, Every) else " OR ").join(f"({text(p)})" for p in tree.parts)
+    return f"{tree.name} {tree.relation} {tree.against}" if tree.relation else tree.name
 
 
 def holds(tree, cell):
-    if isinstance(tree, NotNode):
-        return not holds(tree.operand, cell)
-    if isinstance(tree, AndNode):
-        return holds(tree.left, cell) and holds(tree.right, cell)
-    if isinstance(tree, OrNode):
-        return holds(tree.left, cell) or holds(tree.right, cell)
+    if isinstance(tree, Unless):
+        return not holds(tree.part, cell)
+    if isinstance(tree, (Every, Some)):
+        return (all if isinstance(tree, Every) else any)(holds(p, cell) for p in tree.parts)
     if tree.name == "none":
         return False
     value = cell[tree.name]
-    if isinstance(tree, ExistenceCheck):
+    if tree.relation is None:
         return value is not None
-    other = cell[tree.value] if isinstance(tree.value, str) else tree.value
-    return tree.op == "!=" if value is None or other is None else OPS[tree.op](value, other)
+    other = cell[tree.against] if isinstance(tree.against, str) else tree.against
+    return tree.relation == "!=" if value is None or other is None else OPS[tree.relation](value, other)
 
 
 @pytest.mark.parametrize("seed", range(12))
