@@ -11,20 +11,22 @@ fuller cells the classes are split into blocks, and each pair of blocks is a gro
 links each class has there and links that connect them, never the pairs; a pair is counted
 in the first such cell where it meets.
 
-Defined results: vectors that are null, zero, of another dimension, or hold null or non-finite components,
-and rows without an id, link with nothing (0 links, their own component); repeated rows
-are equal vectors; an empty table gives no rows.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
+and rows without an id, link with nothing (0 links, their own component); vectors of different dimensions don't link;
+repeated rows are equal vectors, and one id may have several vectors; other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import append_columns
+from .arrowmap import append_columns, quoted
 from .bytetext import mix
 from .components import connected_components
 from .lattice import nearest, neighbours
@@ -34,6 +36,8 @@ from .storage import Scratch
 TABLES = 8
 SCALE = 1.5
 COSINE = 0.95
+#: Lengths that vectors may have; those of different lengths never link.
+MOST_DIMENSIONS = 32
 #: Cells of more members than this are compared in blocks.
 FULL = 64
 BLOCK = 512
@@ -87,11 +91,11 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     whole = lengths == dim
     flat = column.filter(pa.array(whole)).flatten().cast(pa.float64())
     out[whole] = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
-    with np.errstate(over="ignore", invalid="ignore"):
-        size = np.sqrt((out * out).sum(axis=1))
-        ok = whole & np.isfinite(out).all(axis=1) & np.isfinite(size) & (size > 0)
+    ok = whole & np.isfinite(out).all(axis=1) & (out != 0).any(axis=1)
     out[~ok] = 0
-    out[ok] /= size[ok, None]
+    # Brought to a largest component of about one first, so that no square is too large or too small.
+    out[ok] = np.ldexp(out[ok], -np.frexp(np.abs(out[ok]).max(axis=1))[1][:, None])
+    out[ok] /= np.sqrt((out[ok] * out[ok]).sum(axis=1))[:, None]
     return out, ok
 
 
@@ -161,11 +165,23 @@ def _block_links(group: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"node": np.append(node[some], node[pairs[:, 0]]), "other": other, "links": np.append(links[some], np.zeros(len(pairs), np.int64))})
 
 
-def near_duplicates(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", dim: int = 64, cosine: float = COSINE, tables: int = TABLES, full: int = FULL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = COSINE, tables: int = TABLES, full: int = FULL, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``vectors``: its id, n_links, component_id and kept."""
-    spark = vectors.sparkSession
+    given = vectors.select(quoted(id_column).alias("id"), quoted(vector_column).cast("array<double>").alias("v"))
+    dims = [r[0] for r in given.where("size(v) > 0").select(F.size("v").alias("dim")).distinct().limit(MOST_DIMENSIONS + 1).collect()]
+    if len(dims) > MOST_DIMENSIONS:
+        raise ValueError(f"more than {MOST_DIMENSIONS} dimensions of vectors")
+    if len(dims) <= 1:
+        return _of_dimension(given, dims[0] if dims else 1, id_column, cosine, tables, full, block)
+    parts = [given.where(F.size("v") == dim) for dim in dims] + [given.where("v is null or size(v) <= 0")]
+    found = [_of_dimension(part, dim, id_column, cosine, tables, full, block) for part, dim in zip(parts, [*dims, 1])]
+    return reduce(DataFrame.union, found)
+
+
+def _of_dimension(given: DataFrame, dim: int, id_column: str, cosine: float, tables: int, full: int, block: int) -> DataFrame:
+    """Near-duplicates of vectors (id, v) of one dimension."""
+    spark = given.sparkSession
     scratch = Scratch(spark)
-    given = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
 
     def make_unit():
         def run(column: pa.Array) -> list[pa.Array]:
@@ -178,8 +194,9 @@ def near_duplicates(vectors: DataFrame, *, id_column: str = "vec_id", vector_col
     rows = rows.withColumn("vector", F.when(F.col("id").isNotNull(), F.col("vector")))
     rows = scratch.write(rows.select("id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")), "rows")
     usable = rows.where("vector is not null")
-    classes = usable.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    classes = scratch.write(classes, "classes")
+    # A class is named by the hash of its vector, so that one id may have several vectors.
+    classes = usable.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = scratch.write(classes.withColumn("node", F.xxhash64("h1", "h2")), "classes")
 
     def make_cells():
         hasher = Hasher(dim, tables)
@@ -191,7 +208,7 @@ def near_duplicates(vectors: DataFrame, *, id_column: str = "vec_id", vector_col
         return run
 
     cells = [T.StructField("own", T.ArrayType(T.LongType())), T.StructField("probes", T.ArrayType(T.LongType()))]
-    each = usable.join(classes, ["h1", "h2"]).where("id = node").dropDuplicates(["node"]).select("node", "copies", "vector")
+    each = usable.join(classes, ["h1", "h2"]).where("id = least").dropDuplicates(["node"]).select("node", "copies", "vector")
     each = scratch.write(append_columns(each, "vector", cells, make_cells), "cells")
     member = F.explode(F.concat(
         F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("owner"))),
@@ -246,7 +263,10 @@ def near_duplicates(vectors: DataFrame, *, id_column: str = "vec_id", vector_col
     totals = totals.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(links, scratch)
     named = classes.join(totals, "node", "left").join(parts, "node", "left")
-    named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("part"))
+    named = named.select("h1", "h2", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("whole"))
+    named = scratch.write(named, "named")
+    firsts = named.groupBy(F.struct("whole").alias("k")).agg(F.min("least").alias("part")).select("k.whole", "part")
+    named = named.join(firsts, "whole").drop("whole", "least")
     tagged = rows.select("id", F.when(F.col("vector").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("vector").isNotNull(), F.col("h2")).alias("h2"))
     out = tagged.join(named, ["h1", "h2"], "left")
     part = F.coalesce("part", "id")
