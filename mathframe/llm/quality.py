@@ -10,8 +10,7 @@ Filters look bytes up in tables (a convolution over one-hot bytes).  For scoring
 neighbouring bytes are added up beforehand, so a position takes WIDTH / 2 look-ups.
 
 Training uses at most ``SAMPLE`` labelled texts of each class, chosen by a hash of their ids,
-with at most ``SAMPLE_CHUNKS`` chunks of each, spread over the text; scoring always
-covers the whole text.
+with all chunks of each; scoring covers the whole text, too.
 
 Defined results: a null or empty text is one chunk of padding and gets that score; ties don't
 matter (a score depends on the text alone); an empty table gives no rows; without labels
@@ -36,8 +35,7 @@ STEP = 128
 WIDTH = 6
 FILTERS = 16
 HIDDEN = 12
-SAMPLE = 1500
-SAMPLE_CHUNKS = 8
+SAMPLE = 800
 #: Weight of the short texts that are cut from training texts, beside that of whole ones.
 CROP_WEIGHT = 0.1
 #: Positions handled at once while scoring.
@@ -148,19 +146,16 @@ def _add(net: Network, row: np.ndarray, pooled: np.ndarray, total: np.ndarray, c
     np.add.at(chunks, row, 1)
 
 
-def sample_chunks(column: pa.Array, most: int = SAMPLE_CHUNKS) -> list[bytes]:
-    """Up to ``most`` chunks of each text, spread evenly, as padded bytes."""
+def text_chunks(column: pa.Array) -> list[bytes]:
+    """All chunks of each text, as padded bytes."""
     data, offsets = column_bytes(column)
     size = 2 * STEP + WIDTH - 1
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        blocks = int(padded_blocks(np.array([b - a]))[0])
-        first = np.unique(np.linspace(0, max(0, blocks - 2), most).astype(int))
-        parts = []
-        for k in first.tolist():
-            part = data[a + k * STEP : min(b, a + k * STEP + size)].tobytes()
-            parts.append(part + bytes(size - len(part)))
-        out.append(b"".join(parts))
+        chunks = max(1, int(padded_blocks(np.array([b - a]))[0]) - 1)
+        flat = np.zeros((chunks + 1) * STEP + WIDTH - 1, np.uint8)
+        flat[: b - a] = data[a : min(b, a + len(flat))]
+        out.append(np.lib.stride_tricks.sliding_window_view(flat, size)[:: STEP].tobytes())
     return out
 
 
@@ -246,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_column: st
     for label in (0, 1):
         wanted = sample_labelled(known.where(F.col("label") == label), id_column, sample)
         rows = sample_rows(docs, wanted, id_column, sample).select(F.col(text_column).alias("text"))
-        make = lambda: lambda column: [pa.array(sample_chunks(column), pa.binary())]
+        make = lambda: lambda column: [pa.array(text_chunks(column), pa.binary())]
         found = append_columns(rows, "text", [T.StructField("chunks", T.BinaryType())], make).select("chunks").collect()
         texts += sorted(bytes(r.chunks) for r in found)
         truth += [label] * len(found)

@@ -12,8 +12,8 @@ Training uses at most ``positives`` + ``unlabelled`` texts, chosen by a hash of
 their distinct features are gathered in bounded memory.  Scoring streams whole texts.
 
 Defined results: null and empty texts have no features and get the score of the bias;
-ties don't matter (a score depends on the text alone); empty tables give no rows; without
-a confirmed example every text gets score 0.
+ties don't matter (a score depends on the text alone); texts of any length are taken whole; columns ``score`` and
+``predicted`` are replaced, others may have any names; empty tables give no rows; without a confirmed example every text gets score 0.
 """
 
 from __future__ import annotations
@@ -28,13 +28,11 @@ from pyspark.sql import types as T
 
 from .arrowmap import append_columns
 from .sampling import sample_labelled, sample_rows
-from .bytetext import LOWER, NOT_ALNUM, RollingHash, pieces, words
+from .bytetext import LOWER, NOT_ALNUM, byte_hashes, pieces, words
 
 #: Beginnings of words, in bytes, that are features beside whole words.
 PREFIXES = (5, 6, 7, 8, 9)
 HASH_BITS = 22
-#: Features kept for the classifier.
-KEPT = 4096
 #: How far the border of the classes is moved at most, as a logit.
 MOST_SHIFT = 1.5
 #: Bounds of the training sample, in texts.
@@ -46,12 +44,11 @@ def feature_hashes(column: pa.Array):
     for piece in pieces(column, NOT_ALNUM):
         data = LOWER[piece.data]
         starts, ends, segment = words(piece, NOT_ALNUM, data)
-        rolling = RollingHash(data)
         row = piece.rows[segment]
-        parts = [(row, _bits(rolling(starts, ends)))]
+        parts = [(row, _bits(byte_hashes(data, starts, ends)))]
         for n in PREFIXES:
             long = ends - starts > n
-            parts.append((row[long], _bits(rolling(starts[long], starts[long] + n) + np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1))))
+            parts.append((row[long], _bits(byte_hashes(data, starts[long], starts[long] + n) + np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1))))
         yield np.concatenate([r for r, _ in parts]), np.concatenate([f for _, f in parts])
 
 
@@ -89,7 +86,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], kept: int = KEPT) -> np.ndarray:
+def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Features that toxic texts hold clearly more often than unlabelled ones."""
     size = 1 << HASH_BITS
     in_p = np.bincount(np.concatenate([np.zeros(0, np.int64), *positive]), minlength=size)
@@ -97,8 +94,7 @@ def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], ke
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
     share = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
-    able = np.flatnonzero((in_p >= 2) & (z > 3))
-    return np.sort(able[np.argsort(-z[able], kind="stable")[:kept]])
+    return np.flatnonzero((in_p >= 2) & (z > 3))
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, threshold: float = 0.7) -> Model:
