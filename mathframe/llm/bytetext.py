@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from .xxh64 import hash_ranges
+
 PIECE_BYTES = 1 << 21
 
 #: Separator bytes of ``[^\x20\x09-\x0D]+`` words.
@@ -120,19 +122,9 @@ def words(piece: Piece, blank: np.ndarray, data: np.ndarray | None = None) -> tu
     return starts, ends, segment
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        size = max(n, 2 * PIECE_BYTES + 8192)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base & (1 << 64) - 1, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 of the byte ranges of a piece, mixed once more."""
+    return mix(hash_ranges(data.tobytes(), starts, ends, 29))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,16 +135,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
-
-
-class RollingHash:
-    """64-bit hashes of any byte range of a piece, from one prefix sum."""
-
-    def __init__(self, data: np.ndarray):
-        up, self._down = _powers(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * up[: len(data)], out=self._sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        x = (self._sums[ends] - self._sums[starts]) * self._down[starts]
-        return mix(x + (ends - starts).astype(np.uint64))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import append_columns
-from .bytetext import BLANK, RollingHash, column_bytes
+from .bytetext import BLANK, byte_hashes, column_bytes
 
 #: Texts are taken in pieces of so many bytes; a longer text is cut at safe boundaries.
 PIECE_BYTES = 1 << 21
@@ -116,7 +116,7 @@ class Counter:
         cut[text_starts[text_starts < len(data)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        hashes = RollingHash(data)(starts, ends)
+        hashes = byte_hashes(data, starts, ends)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         counts = np.zeros(len(distinct), np.int64)
         at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))

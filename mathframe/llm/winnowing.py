@@ -14,8 +14,8 @@ benchmark grows.  A document's matches are counted by distinct window before the
 paired with items, so a passage that repeats within a text costs no more than once.
 
 Defined results: a null or empty text has no words and no hits; an item without words
-never occurs; repeated items and repeated documents count each by themselves, and a
-null item id is the empty string.
+never occurs; items with one id count once, repeated documents each by themselves, and a
+null item id is the empty string.  Texts of any length are taken whole; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import append_columns, free_name
-from .bytetext import LOWER, NOT_ALNUM, RollingHash, mix, pieces, words
+from .arrowmap import append_columns, free_name, quoted
+from .bytetext import LOWER, NOT_ALNUM, byte_hashes, mix, pieces, words
 
 WINDOW = 8
 GRAM = 5
@@ -129,7 +129,7 @@ def _hashed(column: pa.Array, overlap: int):
     for piece in pieces(column, NOT_ALNUM, overlap):
         data = LOWER[piece.data]
         starts, ends, segment = words(piece, NOT_ALNUM, data)
-        yield RollingHash(data)(starts, ends), piece.rows[segment], starts < piece.own, piece
+        yield byte_hashes(data, starts, ends), piece.rows[segment], starts < piece.own, piece
 
 
 def scan(column: pa.Array, block: Block, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -294,7 +294,7 @@ def items_digest():
 def decontaminate(docs: DataFrame, items: DataFrame, *, least_items: int = 2, **options) -> DataFrame:
     """Rows of ``docs`` whose texts hold windows of fewer than ``least_items`` items."""
     found = find_contamination(docs, items, **options)
-    return found.where(F.size("hit_items") < least_items).select(*docs.columns)
+    return found.where(F.size("hit_items") < least_items).select(*map(quoted, docs.columns))
 
 
 def reference_digest(ids: list[str]) -> str:

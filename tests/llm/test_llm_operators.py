@@ -82,10 +82,10 @@ def test_fingerprint_links_against_all_pairs(spark, block):
 
 
 def brute_links(vectors, cosine=0.95):
-    ok = {i: np.array(v, float) for i, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    unit = {i: v / np.sqrt((v * v).sum()) for i, v in ok.items()}
-    links = {i: {j for j in unit if j != i and unit[i] @ unit[j] >= cosine} for i in unit}
-    return links
+    ok = {i: np.array(v, float) for i, v in vectors if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    unit = {i: v / np.abs(v).max() for i, v in ok.items()}
+    unit = {i: v / np.sqrt((v * v).sum()) for i, v in unit.items()}
+    return {i: {j for j in unit if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= cosine} for i in unit}
 
 
 @pytest.mark.parametrize("full, block", [(64, 512), (3, 4)])
@@ -94,16 +94,63 @@ def test_embeddings(spark, full, block):
     centres = rng.normal(size=(6, 64))
     vectors = [(i, (centres[i % 6] + rng.normal(0, 0.12, 64)).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=64).tolist()) for i in range(20)]
     vectors += [(200, vectors[0][1]), (201, [2 * x for x in vectors[0][1]]), (202, None), (203, [0.0] * 64), (204, [float("nan")] + [1.0] * 63), (205, [None] + [1.0] * 63), (206, [1.0] * 3), (207, [])]
+    vectors += [(208, [1e200 * x for x in vectors[0][1]]), (209, [1e-200 * x for x in vectors[0][1]]), (210, [1.0] * 32), (211, [3.0] * 32), (212, [1.0] * 31 + [1.1])]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("h1", F.lit("x"))
     found = {r.vec_id: r for r in embdedup.near_duplicates(frame, full=full, block=block).collect()}
     links = brute_links(vectors)
     total = sum(len(x) for x in links.values())
     assert len(found) == len(vectors) and sum(r.n_links for r in found.values()) >= 0.9 * total > 0
     assert all(found[i].n_links <= len(links.get(i, ())) for i, _ in vectors)
-    assert found[200].n_links == found[0].n_links and all(found[i].n_links == 0 and found[i].component_id == i and found[i].kept for i in range(202, 208))
+    for i in (200, 208, 209, 210, 211):
+        assert found[i].n_links == len(links[i]) >= 1
+    met = lambda i: {i} | {j for j in found if found[j].component_id == found[i].component_id}
+    assert all(r.component_id == min(met(i)) and r.kept == (i == r.component_id) for i, r in found.items())
+    assert all(links[i] <= met(i) for i in (0, 208, 210)) and all(found[i].n_links == 0 and found[i].component_id == i and found[i].kept for i in range(202, 208))
     assert embdedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_one_id_with_two_vectors(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=16).tolist(), rng.normal(size=16).tolist()
+    frame = spark.createDataFrame([(1, x), (1, y), (2, x), (3, y), (4, [-v for v in x])], "vec_id long, embedding array<double>")
+    assert rows(embdedup.near_duplicates(frame), "vec_id", "n_links", "component_id") == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_recall_by_cosine():
+    """Of pairs at a cosine just above the border nine tenths meet in a cell, at the least."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    hasher = embdedup.Hasher(64)
+    own, probes = hasher.cells(x)
+    for cosine in (0.95, 0.97):
+        own2, probes2 = hasher.cells(cosine * x + math.sqrt(1 - cosine**2) * side)
+        met = (own == own2).any(axis=1) | (probes == own2[:, :, None]).any(axis=(1, 2)) | (own[:, :, None] == probes2).any(axis=(1, 2))
+        assert met.mean() >= 0.98
+
+
+def test_words_of_one_rolling_hash(spark):
+    """Thue-Morse words and their complements, which share any polynomial hash modulo 2^64, stay apart."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, f"{one} {two}"), (2, one), (3, two)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", one)], "item_id string, text string")
+    found = {r.doc_id: len(r.hit_items) for r in winnowing.find_contamination(docs, items).collect()}
+    assert found == {1: 1, 2: 1, 3: 0}
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs, path).collect()}
+    assert got == {r.doc_id: len(library.encode(r.text, add_special_tokens=False)) for r in docs.collect()}
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     docs = [(i, "w " * rng.randint(0, 9), rng.choice(["a", "b", "c", "d", None])) for i in range(300)] + [(None, None, "e"), (7, "x y", "a"), (7, "x y", "a")]
