@@ -47,4 +47,5 @@ def append_columns(df: DataFrame, column: str, fields: list[T.StructField], make
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(at))], names=[*names, *(f.name for f in fields)])
 
-    return df.select(*map(quoted, names)).mapInArrow(run, schema)
+    # Python's mapInArrow looks columns up by name, which fails for names with dots.
+    return df.select(*(quoted(n).alias(f"c{i}") for i, n in enumerate(names))).mapInArrow(run, schema)

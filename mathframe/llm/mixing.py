@@ -13,7 +13,7 @@ is left (a sixteen-millionth of a source), so a source of any size is never gath
 
 Defined results: a null text has no words; a source without words has target 0; null sources
 are one source, after all others; texts with equal ids share a hash and are taken
-together; an empty table gives no rows.
+together; texts of any length are taken whole; columns other than the new ones may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import append_columns
+from .arrowmap import append_columns, free_name, quoted
 from .bytetext import BLANK, pieces, words
 from .storage import Scratch
 
@@ -113,23 +113,24 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: tuple[int
     Columns of these names are replaced.  All rows stay; rows with repeats 0 aren't in the mix.
     """
     new = ["size", "source_size", "target", "repeats", "taken"]
-    kept = docs.select(*(c for c in docs.columns if c not in new))
+    kept = docs.select(*(quoted(c) for c in docs.columns if c.lower() not in new))
+    missing, of, full, cut = free_name(kept, "missing", "of", "full", "cut")
     scratch = Scratch(docs.sparkSession)
     sized = append_columns(
-        kept.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.col(text_column).alias("text")), "text",
+        kept.select(quoted(id_column).alias("id"), quoted(source_column).alias("source"), quoted(text_column).alias("text")), "text",
         [T.StructField("size", T.LongType())], lambda: lambda column: [pa.array(word_counts(column))],
     )
     sized = scratch.write(sized.select(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("source"), seeded_hash(F.col("id"), seed).alias("hash"), "size"), "sizes")
     sources = sized.groupBy("missing", "source").agg(F.sum("size").alias("source_size"))
     sources = scratch.write(fill(sources, weights, share, max_epochs), "sources")
     plan = scratch.write(_cut(sized, sources), "plan").select(
-        F.col("missing").alias("_missing"), F.col("source").alias("_source"), "source_size", "target", F.col("full").alias("_full"), F.col("cut").alias("_cut")
+        F.col("missing").alias(missing), F.col("source").alias(of), "source_size", "target", F.col("full").alias(full), F.col("cut").alias(cut)
     )
     counted = append_columns(kept, text_column, [T.StructField("size", T.LongType())], lambda: lambda column: [pa.array(word_counts(column))])
-    source = F.col(source_column)
-    joined = counted.join(plan, (F.coalesce(source, F.lit("")) == F.col("_source")) & (source.isNull() == F.col("_missing")))
-    repeats = F.col("_full") + (seeded_hash(F.col(id_column), seed) <= F.col("_cut")).cast("bigint")
-    return joined.withColumn("repeats", repeats).withColumn("taken", F.col("repeats") * F.col("size")).drop("_missing", "_source", "_full", "_cut").select(*kept.columns, *new)
+    source = quoted(source_column)
+    joined = counted.join(plan, (F.coalesce(source, F.lit("")) == F.col(of)) & (source.isNull() == F.col(missing)))
+    repeats = F.col(full) + (seeded_hash(quoted(id_column), seed) <= F.col(cut)).cast("bigint")
+    return joined.withColumn("repeats", repeats).withColumn("taken", F.col("repeats") * F.col("size")).select(*map(quoted, kept.columns), *new)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

@@ -21,7 +21,8 @@ alphabet and each digit within 0 to 9.  The round function is SHA-256 of the key
 and the other half.  Values that aren't valid stay as they are.
 
 Only DataFrame functions run here.  Defined results: a null text stays null with 0 values, an empty
-text stays empty; rows, other columns and their order stay; a column ``n_values`` is replaced.
+text stays empty; texts of any length are searched whole; rows, other columns (of any names) and their order stay; a column
+``n_values`` is replaced.  The key stands in the plan, and so in event logs: keep those as safe as the key.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrowmap import free_name, quoted
+
 ROUNDS = 10
 
 # The patterns of the formats.
@@ -199,16 +202,15 @@ def pseudonymise(docs: DataFrame, key: str, *, text_column: str = "text") -> Dat
     """``docs`` with pseudonyms in its texts, and ``n_values``, the number of values replaced."""
     if not key:
         raise ValueError("a key is needed")
-    text = F.col(text_column)
+    text = quoted(text_column)
     kept = [c for c in docs.columns if c.lower() != "n_values"]
+    values, new, whole = free_name(docs, "values", "new", "whole")
     # Values are found once; texts without any digit or @ are never searched.
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    names = {"_found": found}
-    step = docs.select(*kept).withColumns(names)
-    new = F.transform("_found", lambda v: pseudonym(v, F.lit(key)))
-    step = step.withColumn("_new", F.when(F.size("_found") > 0, new))
+    step = docs.select(*map(quoted, kept)).withColumn(values, found)
+    step = step.withColumn(new, F.when(F.size(values) > 0, F.transform(values, lambda v: pseudonym(v, F.lit(key)))))
     gaps = F.split(text, ANY, -1)
-    joined = F.concat(F.array_join(F.zip_with(gaps, F.col("_new"), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), ""))
-    changed = F.coalesce(F.size(F.filter(F.arrays_zip("_found", "_new"), lambda p: p["_found"] != p["_new"])), F.lit(0))
-    out = step.withColumn("_text", F.when(F.col("_new").isNotNull(), joined).otherwise(text)).withColumn("n_values", F.when(F.col("_new").isNotNull(), changed).otherwise(0).cast("bigint"))
-    return out.select(*(F.col("_text").alias(c) if c == text_column else F.col(c) for c in kept), "n_values")
+    joined = F.array_join(F.zip_with(gaps, F.col(new), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    changed = F.coalesce(F.size(F.filter(F.zip_with(values, new, lambda old, v: old != v), lambda x: x)), F.lit(0))
+    out = step.withColumn(whole, F.when(F.col(new).isNotNull(), joined).otherwise(text)).withColumn("n_values", F.when(F.col(new).isNotNull(), changed).otherwise(0).cast("bigint"))
+    return out.select(*((F.col(whole) if c == text_column else quoted(c)).alias(c) for c in kept), "n_values")

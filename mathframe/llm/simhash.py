@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import append_columns, free_name
+from .arrowmap import append_columns, free_name, quoted
 from .bytetext import BLANK, LOWER, Piece, pieces, words
 from .components import connected_components
 from .shipping import ship_package
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     ``component_id`` is the smallest id that links reach.
     """
     scratch = Scratch(docs.sparkSession)
-    doc = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    doc = docs.select(quoted(id_column).alias("id"), quoted(text_column).alias("text"))
     prints = scratch.write(with_fingerprint(doc, "text", "fp").select("id", "fp"), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("node"))
     links = fingerprint_links(nodes.where("node is not null"), scratch, max_bits)
@@ -218,9 +218,12 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     """The rows of ``docs`` that stand for their component: of each component the row with the
     smallest id (of repeated rows with this id, one).  Rows without an id are kept."""
     found = near_duplicates(docs, id_column=id_column, text_column=text_column, max_bits=max_bits)
-    gone = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
-    kept = docs.join(gone, id_column, "left_anti").select(*docs.columns)
-    repeated = docs.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").select(id_column)
+    [name] = free_name(docs, "gone")
+    same = quoted(id_column) == F.col(name)
+    gone = found.where(quoted(id_column) != F.col("component_id")).select(quoted(id_column).alias(name)).distinct()
+    kept = docs.join(gone, same, "left_anti")
+    repeated = docs.where(quoted(id_column).isNotNull()).groupBy(quoted(id_column).alias(name)).count().where("count > 1").select(name)
     if repeated.limit(1).count():
-        kept = kept.join(repeated, id_column, "left_anti").union(kept.join(repeated, id_column, "left_semi").dropDuplicates([id_column]).select(*docs.columns)).select(*docs.columns)
+        first = kept.join(repeated, same, "left_semi").dropDuplicates([id_column])
+        kept = kept.join(repeated, same, "left_anti").union(first)
     return kept

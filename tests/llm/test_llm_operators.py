@@ -344,3 +344,15 @@ def test_many_languages(spark):
     got = {r.page_id: r.language for r in found.collect()}
     assert sum(got[i] == lang for i, lang in enumerate(own)) >= 48
     assert jobs() - before < 60
+
+
+def test_clashing_columns(spark):
+    """Columns named like helpers, in other cases and with dots stay as they are."""
+    strange = ["_source", "_id", "_text", "_found", "gone", "Values", "a.b", "missing", "CUT"]
+    docs = spark.createDataFrame([(1, "web", "call me at (555) 123-4567 or write to someone"), (2, None, "another text of other words"), (2, None, "another text of other words")], "doc_id long, source string, text string")
+    docs = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(strange)))
+    for out in (mixing.mix(docs), pii.pseudonymise(docs, "k"), simhash.keep_one(docs), winnowing.decontaminate(docs, docs.selectExpr("'i' as item_id", "'no such words at all here' as text").limit(1), least_items=1)):
+        kept = [c for c in out.columns if c in docs.columns]
+        assert kept == docs.columns and all([r[c] for c in strange] == list(range(len(strange))) for r in out.collect())
+    sized = mixing.mix(docs.withColumn("Size", F.lit(-1)))
+    assert [c.lower() for c in sized.columns].count("size") == 1
