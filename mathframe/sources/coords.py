@@ -107,7 +107,11 @@ def local_dim(spark: SparkSession, name: str, dtype: str, values: list) -> Dim:
 def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
     """Distinct sorted values with ordinals: numbered within ranges, which start where the last ended."""
     spark = values.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="mathframe-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="mathframe-")
     path = f"{folder.rstrip('/')}/mathframe-dim-{uuid.uuid4().hex}"
     ranges = values.repartitionByRange(F.col(column)).select(F.spark_partition_id().alias("part"), F.col(column).alias("value"))
     ranges.write.parquet(path)  # the ranges must not be drawn anew
