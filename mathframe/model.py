@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -230,6 +231,15 @@ def _parse_all(schema: MathSchema) -> None:
                 raise ValueError(f"Objective '{name}': the expression must not contain a comparison: {equation.expression!r}")
 
 
+@contextmanager
+def _naming(text: str) -> Iterator[None]:
+    """The message of an error holds the text of the expression it comes from."""
+    try:
+        yield
+    except (NameError, TypeError, ValueError, ZeroDivisionError) as error:
+        raise type(error)(f"{error} (in the expression {text!r})") from error
+
+
 class _Builder:
     """Adds a document's variables, constraints and objectives, in this order, to a state."""
 
@@ -248,22 +258,17 @@ class _Builder:
                 mask = both(whole, self.conditions.plan(equation.where), s.master)
                 label = name if len(declared.equations) == 1 else f"{name}_{i}"
                 formula = parse_expression(equation.expression)
-                left, right = (self._of(side, equation.expression) for side in formula.sides)
-                block, used = build_constraint(self.space, label, left, _SIGNS[formula.relation], right, mask, s.row_ids)
+                with _naming(equation.expression):
+                    left, right = map(self.evaluated, formula.sides)
+                    block, used = build_constraint(self.space, label, left, _SIGNS[formula.relation], right, mask, s.row_ids)
                 s.constraints[label] = block
                 s.row_ids += used
         for name, declared in schema.objectives.items():
             text = declared.equations[0].expression
-            s.objective = build_objective(self.space, name, self._of(parse_expression(text).sides[0], text), declared.sense)
+            with _naming(text):
+                s.objective = build_objective(self.space, name, self.evaluated(parse_expression(text).sides[0]), declared.sense)
         return s
 
-    def _of(self, program: Program, text: str) -> Expr:
-        """The expression of a program; the message of an error holds its text."""
-        try:
-            return self.evaluated(program)
-        except (NameError, TypeError, ValueError, ZeroDivisionError) as error:
-            raise type(error)(f"{error} (in the expression {text!r})") from error
-
     def evaluated(self, program: Program) -> Expr:
         stack: list[Any] = []
         for step in program:

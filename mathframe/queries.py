@@ -465,3 +465,110 @@ UNION ALL SELECT 24 * k + o, o, CAST(1 AS DOUBLE) FROM e CROSS JOIN n"""
 )
 def storage_terms(spark, folder):
     return _model(spark, folder, _STORAGE).all_terms()
+
+
+# -- accessors, checks of tables, export -----------------------------------------------
+
+_value("expr_infinity", "cost + inf - cap * 0", _suppliers_value("CASE WHEN cap IS NOT NULL THEN CAST('inf' AS DOUBLE) END"))
+_value("expr_infinity_missing", "inf - inf * cost", _suppliers_value("NULL"))
+_where("where_dimension_exists", "supplier AND cap", _suppliers_where("cap IS NOT NULL"))
+
+
+@_query(_sql(_M, _S) + f"SELECT {_LABEL} AS row_id, {_LABEL} AS label, 1 / cap AS coeff FROM m, s WHERE cap > 0")
+def con_variable_over_param(spark, folder):
+    """A variable divided by a parameter is scaled by its reciprocal."""
+    return _model(spark, folder, _fulfilment(constraints={"share": {"foreach": ["month", "supplier"], "equations": _equation("ship / cap <= 1")}})).constraint_terms("share")
+
+
+@_query(_sql(_M, _S) + "SELECT 'cap' AS name, supplier AS at, cap AS value FROM s UNION ALL SELECT 'cost', supplier, cost FROM s UNION ALL SELECT 'demand', month, demand FROM m")
+def accessor_dataset(spark, folder):
+    """All parameters of a model as dense tables."""
+    found = _model(spark, folder, _fulfilment()).yaml.dataset
+    tables = [found[n].select(F.lit(n).alias("name"), F.col(d).alias("at"), "value") for n, d in (("cap", "supplier"), ("cost", "supplier"), ("demand", "month"))]
+    return tables[0].union(tables[1]).union(tables[2])
+
+
+@_query(_sql(_M) + "SELECT month FROM m")
+def accessor_coords(spark, folder):
+    """The coordinates of a model; what is taken out of the returned dict stays in the model."""
+    model = _model(spark, folder, _fulfilment())
+    model.yaml.coords.clear()
+    return model.yaml.coords["month"].table.select("month")
+
+
+@_query("SELECT * FROM (VALUES ('balance', 'constraint'), ('ship', 'variable')) AS t(name, kind)")
+def accessor_schema(spark, folder):
+    """The document that a model was built from; an extension doesn't change it."""
+    model = _model(spark, folder, _fulfilment())
+    model.yaml.extend({"constraints": {"least": {"foreach": ["month"], "equations": _equation("sum(ship, over=supplier) >= 0")}}})
+    schema = model.yaml.schema
+    rows = [(n, "variable") for n in schema.variables] + [(n, "constraint") for n in schema.constraints]
+    return spark.createDataFrame(rows, "name string, kind string")
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(count(c_custkey) AS DOUBLE) AS value FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def param_checked_table(spark, folder):
+    """A table whose coordinates are held against the dimension's and found to be distinct and known."""
+    tables = _Tables(spark, folder)
+    counted = tables.read("customer").groupBy(F.col("c_nationkey").cast("bigint").alias("nation")).agg(F.count("*").cast("double").alias("value"))
+    document = {"dimensions": {"nation": {"dtype": "int"}}, "parameters": {"customers": {"dims": ["nation"]}}}
+    return Model.from_yaml(spark, document, data={"customers": counted}, coords={"nation": tables.nation()}).parameter("customers")
+
+
+@_query(_sql(_M, _S) + ", n AS (SELECT count(*) AS n FROM m, s WHERE cap > 0) SELECT 0 AS section, n FROM n UNION ALL SELECT 2, count(*) FROM m UNION ALL SELECT 4, n FROM n")
+def export_lp(spark, folder):
+    """Lines of the LP text: objective, rows and bounds."""
+    from .export import lp_lines
+
+    lines = lp_lines(_model(spark, folder, _fulfilment())).where("place >= 0 and section in (0, 2, 4)")
+    return lines.groupBy("section").agg(F.count("*").alias("n"))
+
+
+# -- mistakes --------------------------------------------------------------------------
+
+
+def _mistake(name: str, error: str, says: str, make: Callable[[SparkSession, str], object]) -> None:
+    """A query of one row: the error that ``make`` raises, and whether its message holds ``says``."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        try:
+            make(spark, folder)
+        except Exception as found:  # noqa: BLE001 - which one it is, is the result
+            return spark.createDataFrame([(type(found).__name__, says in str(found))], "error string, said boolean")
+        return spark.createDataFrame([("none", False)], "error string, said boolean")
+
+    run.__name__, run.__doc__ = name, f"{error}: ... {says} ..."
+    _query(f"SELECT '{error}' AS error, true AS said")(run)
+
+
+def _constrained(expression: str) -> Callable[[SparkSession, str], Model]:
+    return lambda spark, folder: _model(spark, folder, _fulfilment(constraints={"wrong": {"foreach": ["month", "supplier"], "equations": _equation(expression)}}))
+
+
+def _evaluated(expression: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: _model(spark, folder, _MONTH).evaluate(expression)
+
+
+def _checked(table: Callable[[_Tables], DataFrame]) -> Callable[[SparkSession, str], Model]:
+    def make(spark: SparkSession, folder: str) -> Model:
+        tables = _Tables(spark, folder)
+        document = {"dimensions": {"region": {"dtype": "int"}}, "parameters": {"a": {"dims": ["region"]}}}
+        return Model.from_yaml(spark, document, data={"a": table(tables)}, coords={"region": tables.region()})
+
+    return make
+
+
+_mistake("error_not_parsed", "ValueError", "Failed to parse", _evaluated("demand +* 2"))
+_mistake("error_unknown_name", "NameError", "nothing", _evaluated("demand + nothing"))
+_mistake("error_unknown_helper", "NameError", "Unknown helper", _evaluated("strange(demand)"))
+_mistake("error_sum_without_over", "TypeError", "over", _evaluated("sum(demand)"))
+_mistake("error_roll_two_shifts", "TypeError", "exactly one", _evaluated("roll(demand, month=1, hour=2)"))
+_mistake("error_roll_number", "TypeError", "numbers", _evaluated("roll(3, month=1)"))
+_mistake("error_not_linear", "NotLinearError", "ship * ship <= 1", _constrained("ship * ship <= 1"))
+_mistake("error_no_comparison", "ValueError", "exactly one comparison", _constrained("ship + 1"))
+_mistake("error_no_variable", "ValueError", "cap <= cost", _constrained("cap <= cost"))
+_mistake("error_keyword_as_name", "ValueError", "AND", lambda spark, folder: _model(spark, folder, _MONTH).mask("AND"))
+_mistake("error_strange_dimension", "ValueError", "nation", _checked(lambda t: t.read("nation").select(F.col("n_nationkey").alias("nation"), F.lit(1.0).alias("value"))))
+_mistake("error_strange_coordinate", "ValueError", "not in the master coordinate", _checked(lambda t: t.read("nation").select(F.col("n_nationkey").cast("bigint").alias("region"), F.lit(1.0).alias("value"))))
+_mistake("error_repeated_coordinate", "ValueError", "several values", _checked(lambda t: t.read("nation").select(F.col("n_regionkey").cast("bigint").alias("region"), F.lit(1.0).alias("value"))))
+_mistake("error_not_from_yaml", "AttributeError", "not built from YAML", lambda spark, folder: Model(spark).yaml)
