@@ -7,10 +7,11 @@ two texts that share a window share a kept hash.  Documents probe the kept hashe
 the items; each match is extended to all windows around it, and a window
 counts once its words' hashes equal a window of an item.
 
-The items are taken in blocks of a bounded number of words.  One block is
-broadcast at a time and every document is held against it, so nothing is shuffled,
-no document is dropped and the broadcast has a fixed bound however large the
-benchmark grows.  A document's matches are counted by distinct window before they are
+A benchmark of at most ``BLOCK_WORDS`` words is one broadcast table: every document is held against it and
+nothing is shuffled.  A larger one is never gathered: its fingerprints and windows stay distributed, documents emit the
+fingerprints that a bitmap of fixed size lets through, and both are joined, first on fingerprints and then, extended,
+on windows.  There a document is named by two 64-bit hashes of its text, so copies share their rows.
+A document's matches are counted by distinct window before they are
 paired with items, so a passage that repeats within a text costs no more than once.
 
 Defined results: a null or empty text has no words and no hits; an item without words
@@ -21,23 +22,28 @@ null item id is the empty string.  Texts of any length are taken whole; other co
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import append_columns, free_name, quoted
 from .bytetext import LOWER, NOT_ALNUM, byte_hashes, mix, pieces, words
+from .shipping import ship_package
+from .storage import Scratch
 
 WINDOW = 8
 GRAM = 5
-#: Words of benchmark items that are broadcast at once (about 60 bytes each).
+#: Words of a benchmark that is broadcast (about 60 bytes each).
 BLOCK_WORDS = 500_000
 
 _FILTER_BITS = 20
+#: Bits of the bitmap of fingerprints of a larger benchmark (8 MB).
+_MAP_BITS = 26
 
 
 def _gram_hash(word_hash: np.ndarray, k: int) -> np.ndarray:
@@ -97,19 +103,32 @@ class Block:
         """Positions of values that may be in a table."""
         return np.flatnonzero(self.filters[key][values >> np.uint64(64 - _FILTER_BITS)])
 
+    def wanted(self, k: int, window: int, values: np.ndarray) -> np.ndarray:
+        """Positions of values that may be a window of ``k`` words or, where that is the full length, that are kept hashes."""
+        at = self.maybe("prints" if k == window else k, values)
+        return at[_contains(self.prints, values[at])[1]] if k == window else at
+
+
+def _item_hashes(text: str | None, window: int, gram: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Length of an item's windows (0: no words), their hashes, its fingerprints."""
+    hashes = np.concatenate([h for h, _, _, _ in _hashed(pa.array([text], pa.string()), 0)] or [np.zeros(0, np.uint64)])
+    k = min(window, len(hashes))
+    if k < window:
+        value = _gram_hash(hashes, k) if k else hashes
+        return k, value, value
+    grams = _gram_hash(hashes, gram)
+    return k, _gram_hash(hashes, k), grams[_winnow(grams, window - gram + 1)]
+
 
 def build_block(item_ids: list, texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> Block:
     found: dict[int, list[tuple[np.ndarray, int]]] = {}
     prints = [np.zeros(0, np.uint64)]
     for number, text in enumerate(texts):
-        hashes = np.concatenate([h for h, _, _, _ in _hashed(pa.array([text], pa.string()), 0)] or [np.zeros(0, np.uint64)])
-        if not len(hashes):
-            continue
-        k = min(window, len(hashes))
-        found.setdefault(k, []).append((_gram_hash(hashes, k), number))
+        k, value, kept = _item_hashes(text, window, gram)
+        if k:
+            found.setdefault(k, []).append((value, number))
         if k == window:
-            grams = _gram_hash(hashes, gram)
-            prints.append(grams[_winnow(grams, window - gram + 1)])
+            prints.append(kept)
     windows, first, owners = {}, {}, {}
     for k, parts in found.items():
         value = np.concatenate([h for h, _ in parts])
@@ -132,6 +151,27 @@ def _hashed(column: pa.Array, overlap: int):
         yield byte_hashes(data, starts, ends), piece.rows[segment], starts < piece.own, piece
 
 
+def _candidates(hashes: np.ndarray, inside: np.ndarray, own: np.ndarray, k: int, window: int, gram: int, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of ``k`` words that a wanted fingerprint leads to, and that fingerprint.
+
+    ``wanted`` gives positions of wanted hashes.  A window of fewer words than ``window`` is its own fingerprint.
+    """
+    if len(hashes) < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if k < window:
+        value = _gram_hash(hashes, k)
+        at = wanted(value)
+        at = at[inside[at] & own[at]]
+        return at, value[at]
+    grams = _gram_hash(hashes, gram)
+    lead = np.flatnonzero(_winnow(grams, window - gram + 1))
+    lead = lead[wanted(grams[lead])]
+    at, led = (lead[:, None] - np.arange(window - gram + 1)).ravel(), np.repeat(grams[lead], window - gram + 1)
+    fits = (at >= 0) & (at < len(inside))
+    at, led = at[fits], led[fits]
+    return at[inside[at]], led[inside[at]]
+
+
 def scan(column: pa.Array, block: Block, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Words of each text; its hit word ranges (start, end); numbers of the items with occurring windows."""
     n = len(column)
@@ -141,25 +181,9 @@ def scan(column: pa.Array, block: Block, window: int = WINDOW, gram: int = GRAM)
         before = n_words[row]  # words of this text in earlier pieces
         position = np.arange(len(row)) - np.searchsorted(row, row) + before
         for k, table in block.windows.items():
-            if len(hashes) < k:
-                continue
-            inside = _spans_one(row, k)
-            if k == window:
-                if len(hashes) < window:
-                    continue
-                grams = _gram_hash(hashes, gram)
-                lead = np.flatnonzero(_winnow(grams, window - gram + 1))
-                lead = lead[block.maybe("prints", grams[lead])]
-                lead = lead[_contains(block.prints, grams[lead])[1]]
-                at = np.unique((lead[:, None] - np.arange(window - gram + 1)).ravel())
-                at = at[(at >= 0) & (at < len(inside))]
-                at = at[inside[at]]
-                value = _window_hash(hashes, at, k)
-            else:
-                value = _gram_hash(hashes, k)
-                at = block.maybe(k, value)
-                at = at[inside[at] & own[at]]
-                value = value[at]
+            at, _ = _candidates(hashes, _spans_one(row, k), own, k, window, gram, lambda v, k=k: block.wanted(k, window, v))
+            at = np.unique(at)
+            value = _window_hash(hashes, at, k)
             slot, ok = _contains(table, value)
             at, slot = at[ok], slot[ok]
             if not len(at):
@@ -221,19 +245,6 @@ _RANGE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end"
 _SCAN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(_RANGE)), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _blocks(items: DataFrame, id_column: str, text_column: str, block_words: int):
-    """Collect the items in blocks of at most ``block_words`` words (a longer item is a block)."""
-    n_bytes = F.coalesce(F.octet_length(text_column), F.lit(0))
-    total = items.agg(F.sum(n_bytes)).first()[0] or 0
-    # A word takes two bytes at least with its separator, so bytes / 2 bounds the words.
-    parts = max(1, -(-total // (2 * block_words)))
-    chosen = items.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"))
-    for part in range(parts):
-        of_part = chosen if parts == 1 else chosen.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        rows = of_part.collect()
-        yield [r.id for r in rows], [r.text for r in rows]
-
-
 def find_contamination(docs: DataFrame, items: DataFrame, *, text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Append ``n_words``, ``hit_ranges`` (merged word ranges) and ``hit_items`` (sorted item ids).
 
@@ -241,41 +252,98 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, text_column: str =
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must be from 1 to window")
-    spark: SparkSession = docs.sparkSession
     out = docs.drop("n_words", "hit_ranges", "hit_items")
-    found = []
-    for ids, texts in _blocks(items, item_id_column, item_text_column, block_words):
-        block = spark.sparkContext.broadcast(build_block(ids, texts, window, gram))
-        [name] = free_name(out, f"scan_{len(found)}")
-
-        def make(block=block):
-            block = block.value
-
-            def run(column: pa.Array) -> list[pa.Array]:
-                n_words, ranges, numbers = scan(column, block, window, gram)
-                hits = [[{"start": int(a), "end": int(b)} for a, b in r] for r in ranges]
-                names = [[block.items[i] for i in x] for x in numbers]
-                return [pa.array([{"n_words": int(w), "hits": h, "items": i} for w, h, i in zip(n_words, hits, names)], _ARROW)]
-
-            return run
-
-        out = append_columns(out, text_column, [T.StructField(name, _SCAN)], make)
-        found.append(name)
-    items_of = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"{x}.items") for x in found)))))
-    ranges_of = F.col(f"{found[0]}.hits") if len(found) == 1 else _merged(F.flatten(F.array(*(F.col(f"{x}.hits") for x in found))))
-    return out.withColumns({"n_words": F.col(f"{found[0]}.n_words"), "hit_ranges": ranges_of, "hit_items": items_of}).drop(*found)
-
-
-def _merged(ranges):
-    """Union of word ranges as disjoint sorted ranges."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(ranges), empty, step)
+    chosen = items.select(quoted(item_id_column).cast("string").alias("id"), quoted(item_text_column).alias("text"))
+    # A word takes two bytes at least with its separator, so bytes / 2 bounds the words.
+    n_bytes = chosen.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    if n_bytes <= 2 * block_words:
+        rows = chosen.collect()
+        return _scanned(out, text_column, build_block([r.id for r in rows], [r.text for r in rows], window, gram), window, gram)
+    counted = _scanned(out, text_column, build_block([], [], window, gram), window, gram)
+    t1, t2, ranges, names = free_name(counted, "t1", "t2", "ranges", "names")
+    found = _joined(out.select(quoted(text_column).alias("text")), chosen, window, gram).toDF(t1, t2, ranges, names)
+    joined = counted.join(found, (F.xxhash64(quoted(text_column)) == F.col(t1)) & (F.xxhash64(F.lit(1), quoted(text_column)) == F.col(t2)), "left")
+    joined = joined.withColumns({"hit_ranges": F.coalesce(ranges, "hit_ranges"), "hit_items": F.coalesce(names, "hit_items")})
+    return joined.drop(t1, t2, ranges, names)
+
+
+def _scanned(docs: DataFrame, text_column: str, block: Block, window: int, gram: int) -> DataFrame:
+    """``docs`` with the matches of a block that is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    [name] = free_name(docs, "scan")
+
+    def make():
+        block = shared.value
+
+        def run(column: pa.Array) -> list[pa.Array]:
+            n_words, ranges, numbers = scan(column, block, window, gram)
+            hits = [[{"start": int(a), "end": int(b)} for a, b in r] for r in ranges]
+            names = [[block.items[i] for i in x] for x in numbers]
+            return [pa.array([{"n_words": int(w), "hits": h, "items": i} for w, h, i in zip(n_words, hits, names)], _ARROW)]
+
+        return run
+
+    out = append_columns(docs, text_column, [T.StructField(name, _SCAN)], make)
+    items_of = F.array_sort(F.array_distinct(f"{name}.items"))
+    return out.withColumns({"n_words": F.col(f"{name}.n_words"), "hit_ranges": F.col(f"{name}.hits"), "hit_items": items_of}).drop(name)
+
+
+def _joined(texts: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """(t1, t2, ranges, names) of the texts with windows of items, from distributed tables of both."""
+    spark = texts.sparkSession
+    ship_package(spark)
+    scratch = Scratch(spark)
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                k, value, kept = _item_hashes(text, window, gram)
+                value, kept = np.unique(value), np.unique(kept)
+                yield _record(k=np.full(len(value) + len(kept), k, np.int32), hash=np.append(value, kept).view(np.int64), print=np.arange(len(value) + len(kept)) >= len(value), item=pa.array([name or ""] * (len(value) + len(kept)), pa.string()))
+
+    theirs = scratch.write(items.mapInArrow(of_items, "k int, hash bigint, print boolean, item string"), "items")
+    prints = theirs.where("print").select("k", F.col("hash").alias("lead")).distinct()
+    windows = theirs.where("not print").select("k", F.col("hash").alias("win"), "item").distinct()
+    # At most 2 ** (_MAP_BITS - 6) rows reach the driver, however large the benchmark is.
+    place = F.shiftrightunsigned("lead", 64 - _MAP_BITS)
+    words_of = prints.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(lead, {64 - _MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (_MAP_BITS - 6), np.uint64)
+    bitmap[words_of["word"].to_numpy()] = words_of["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast((bitmap, sorted(r.k for r in prints.select("k").distinct().collect())))
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sizes = shared.value
+
+        def wanted(value: np.ndarray) -> np.ndarray:
+            at = value >> np.uint64(64 - _MAP_BITS)
+            return np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+
+        for batch in batches:
+            t1, t2 = (batch.column(i).to_numpy() for i in (1, 2))
+            n_words = np.zeros(len(t1), np.int64)
+            for hashes, row, own, _ in _hashed(batch.column(0), window - 1):
+                position = np.arange(len(row)) - np.searchsorted(row, row) + n_words[row]
+                for k in sizes:
+                    at, lead = _candidates(hashes, _spans_one(row, k), own, k, window, gram, wanted)
+                    yield _record(t1=t1[row[at]], t2=t2[row[at]], k=np.full(len(at), k, np.int32), lead=lead.view(np.int64), start=position[at], win=_window_hash(hashes, at, k).view(np.int64))
+                n_words += np.bincount(row[own], minlength=len(n_words))
+
+    named = texts.where("text <> ''").select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    ours = named.mapInArrow(of_texts, "t1 bigint, t2 bigint, k int, lead bigint, start bigint, win bigint")
+    met = ours.distinct().join(prints, ["k", "lead"], "left_semi").select("t1", "t2", "k", "start", "win").distinct()
+    hits = scratch.write(met.join(windows.select("k", "win").distinct(), ["k", "win"], "left_semi"), "hits")
+    names = hits.select("t1", "t2", "k", "win").distinct().join(windows, ["k", "win"]).groupBy("t1", "t2").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    of_text = Window.partitionBy("t1", "t2").orderBy("start", "end")
+    ends = hits.select("t1", "t2", "start", (F.col("start") + F.col("k")).alias("end")).distinct()
+    ends = ends.withColumn("reach", F.max("end").over(of_text.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("run", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(of_text))
+    runs = ends.groupBy("t1", "t2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ranges = runs.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    return ranges.join(names, ["t1", "t2"]).select("t1", "t2", "ranges", "names")
+
+
+def _record(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({name: pa.array(values) for name, values in columns.items()})
 
 
 _ARROW = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])

@@ -193,6 +193,21 @@ def test_winnowing_blocks(spark):
     assert winnowing.find_contamination(docs, items.limit(0)).where("size(hit_items) > 0").count() == 0
 
 
+def test_distributed_winnowing(spark):
+    """Benchmarks that are broadcast and those that are joined give the same rows."""
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(rng.choice(["a", "B", "c9", "é", "dd", "e"]) for _ in range(n))
+    items = [(i, sentence(rng.choice([0, 1, 3, 7, 8, 9, 20, 40]))) for i in range(30)] + [(99, None), (None, sentence(12)), (5, sentence(12))]
+    texts = [sentence(rng.randint(0, 80)) + ". x" for _ in range(60)] + [" and ".join(t or "" for _, t in items), "", None] * 2
+    docs = spark.createDataFrame([(i // 2, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, t1 int").withColumn("a.b", F.lit(0))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    view = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    for options in ({}, {"window": 5, "gram": 2}, {"window": 3, "gram": 3}):
+        one, many = (winnowing.find_contamination(docs, frame, block_words=n, **options) for n in (10**6, 8))
+        assert one.columns == many.columns and view(one) == view(many)
+    assert winnowing.find_contamination(docs.limit(0), frame, block_words=8).count() == 0
+
+
 def test_pseudonyms(spark):
     texts = [(1, "mail ann.lee7@mail.example.com, card 4111111111111111 or 4111-1111-1111-1111, +1 (017) 555-7713"), (2, None), (3, ""), (4, "ip 233.254.104.120 and 999.1.1.1, 2024-02-29 29.02.2024 30/02/2024, 123-45-6789 000-12-1234"), (5, "again ann.lee7@mail.example.com 4111111111111111"), (6, "4111111111111112 GB82WEST12345698765432 GB83WEST12345698765432"), (7, "plain")]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_values", F.lit("clash"))
